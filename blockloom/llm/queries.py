@@ -7,18 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op5_bpe
+from .langid import op2_language
 from .mixing import OP9_SQL, op9_mix
+from .pst import op6_suffix_tree
+from .quality import op3_quality
+from .substr import OP10_SQL, op10_substrings
 from .tiff import op1_tiff
 from .urlfilter import op8_sql, op8_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tiff": op1_tiff,
+    "op2_language": op2_language,
+    "op3_quality": op3_quality,
     "op5_bpe": op5_bpe,
+    "op6_suffix_tree": op6_suffix_tree,
     "op8_urls": op8_urls,
     "op9_mix": op9_mix,
+    "op10_substrings": op10_substrings,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_urls": op8_sql(),
     "op9_mix": OP9_SQL,
+    "op10_substrings": OP10_SQL,
 }
