@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op5_bpe
 from .langid import op2_language
 from .mixing import OP9_SQL, op9_mix
+from .neardup import op7_embeddings
 from .pst import op6_suffix_tree
 from .quality import op3_quality
 from .substr import OP10_SQL, op10_substrings
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op5_bpe": op5_bpe,
     "op6_suffix_tree": op6_suffix_tree,
+    "op7_embeddings": op7_embeddings,
     "op8_urls": op8_urls,
     "op9_mix": op9_mix,
     "op10_substrings": op10_substrings,

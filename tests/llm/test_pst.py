@@ -71,7 +71,7 @@ def test_probabilities_add_up_and_longest_suffix_is_used(spark):
     for words in ([b"abab"], [b"ab", b"q"] * 700, []):
         state, total = tree.start, 0.0
         for b in spelled(words, DEPTH)[DEPTH:]:
-            total += tree.log[state, tree.symbol[b]]
+            total += float(tree.log[state, tree.symbol[b]])
             state = tree.step[state, tree.symbol[b]]
         assert tree.scores([words, [b"x"]])[0] == pytest.approx(total, rel=1e-5)
 
