@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op5_bpe
+from .jaccard import OP4_SQL, op4_jaccard
 from .langid import op2_language
 from .mixing import OP9_SQL, op9_mix
 from .neardup import op7_embeddings
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tiff": op1_tiff,
     "op2_language": op2_language,
     "op3_quality": op3_quality,
+    "op4_jaccard": op4_jaccard,
     "op5_bpe": op5_bpe,
     "op6_suffix_tree": op6_suffix_tree,
     "op7_embeddings": op7_embeddings,
@@ -29,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_jaccard": OP4_SQL,
     "op8_urls": op8_sql(),
     "op9_mix": OP9_SQL,
     "op10_substrings": OP10_SQL,
