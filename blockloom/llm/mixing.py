@@ -45,9 +45,9 @@ def targets(sizes: DataFrame, most: float, weights: tuple[float, ...]) -> DataFr
     everything = Window.partitionBy(F.lit(0))
     s = s.withColumn("total", F.sum("source_size").over(everything).cast("double"))
     s = s.withColumn("level", (F.col("total") - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(rest))
-    # The first source that its level does not fill sets the level of it and all after it.
-    s = s.withColumn("t", F.min(F.when(F.col("level") * F.col("weight") <= F.col("most"), F.col("level"))).over(everything))
-    return s.select("source", "source_size", "weight", F.least(F.col("most"), F.coalesce(F.col("t") * F.col("weight"), F.col("most"))).alias("target"))
+    # With any number of first sources at their limits, the others' level is t at most; at the right number it is t.
+    s = s.withColumn("t", F.max("level").over(everything))
+    return s.select("source", "source_size", "weight", F.least(F.col("most"), F.col("t") * F.col("weight")).alias("target"))
 
 
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: float = 3.0, weights: tuple[float, ...] = (1.0, 2.0, 3.0), seed: int = 9, keep_text: bool = False) -> DataFrame:
@@ -102,10 +102,10 @@ WITH d AS (
   FROM documents),
 s AS (SELECT source, sum(size)::DOUBLE AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight, 3.0 * source_size AS most FROM s),
-l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+l AS (SELECT *, row_number() OVER (ORDER BY most / weight, source ASC NULLS LAST) AS n, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
               / sum(weight) OVER (ORDER BY most / weight, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-t AS (SELECT *, min(CASE WHEN level * weight <= most THEN level END) OVER () AS t FROM l),
-p AS (SELECT source, source_size, least(most, coalesce(t * weight, most)) AS target FROM t),
+t AS (SELECT level AS t FROM l WHERE level * weight <= most ORDER BY n LIMIT 1),
+p AS (SELECT source, source_size, least(most, t * weight) AS target FROM l, t),
 r AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM p),
 q AS (SELECT d.doc_id, d.size, r.*, r.target - r.whole * r.source_size AS rest, (u / (1 - u)) / nullif(d.size, 0) AS q
       FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
