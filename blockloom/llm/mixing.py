@@ -16,10 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, fits, written
 
 #: Bands of the order of each source; the last band of a sample holds about one document in so many.
 BANDS = 4096
+#: The most sources whose plan is broadcast; that of more is joined.
+BROADCAST_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -66,7 +68,8 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     d = d.withColumn("q", F.when(F.col("size") > 0, (u / (1 - u)) / F.col("size")))
     # q from 0 to infinity, to bands of the sorted order: about evenly filled for usual sizes
     d = d.withColumn("band", F.floor(F.lit(float(BANDS)) * (F.col("q") * 1000 / (1 + F.col("q") * 1000))).cast("int"))
-    slim = d.select("id", "source", "size", "q", "band")
+    slim = written(d.select("id", "source", "size", "q", "band"))
+    d = d if keep_text else slim
     bands = slim.groupBy("source", "band").agg(F.sum("size").alias("words"))
     plan = targets(bands.groupBy("source").agg(F.sum("words").alias("source_size")), most, weights)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -76,7 +79,8 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ends = upto.join(plan.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s")))
     ends = ends.where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words"))).select("s", F.col("band").alias("end_band"), "before")
     plan = plan.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    plan = plan.select(F.col("source").alias("s"), "source_size", "target", "whole", "rest", "end_band", "before")
+    plan = written(plan.select(F.col("source").alias("s"), "source_size", "target", "whole", "rest", "end_band", "before"))
+    plan = F.broadcast(plan) if fits(plan, BROADCAST_SOURCES) else plan
     d = d.join(plan, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     inside = F.when(F.col("band") < F.col("end_band"), 1).when(F.col("band") > F.col("end_band"), 0)
     # A target of all words has no band in which it ends.
