@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,12 +50,16 @@ def slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int]]:
         yield start, batch.num_rows
 
 
+def hashes_of(words: list[list[bytes]], known: WordHash) -> np.ndarray:
+    """Hashes of all words of all texts, end to end."""
+    return np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.uint64, sum(map(len, words)))
+
+
 def hashed(texts: list[bytes | None], known: WordHash, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words of all texts, end to end; number of words of each text)."""
     words = [split_words(t, lower) for t in texts]
     counts = np.fromiter(map(len, words), np.int64, len(words))
-    flat = np.fromiter((known[w] for ws in words for w in ws), np.uint64, int(counts.sum()))
-    return flat, counts
+    return hashes_of(words, known), counts
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, as_bytes, documents, slices, split_words, written
+from .common import WordHash, as_bytes, documents, hashes_of, slices, split_words, written
 from .quality import held_out
 
 DEPTH, LEAST_SHARE, DIVERGENCE, SMOOTH = 6, 1e-5, 0.002, 30.0
@@ -32,42 +32,42 @@ HEAD = 1_000_000
 HELD, WINDOW, BATCH = 1_500_000, 512, 4096
 
 
-def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
-    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-    return k[first], np.add.reduceat(c, first)
-
-
 class Sums:
-    """Counts by 64-bit key, summed up whenever HELD of them are held; full() when that frees too little."""
+    """Counts by 64-bit key: new keys are sorted HELD at a time and merged into those counted before."""
 
     def __init__(self) -> None:
-        self.keys: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
-        self.size = self.settled = 0
+        self.new: list[np.ndarray] = []
+        self.size = 0
+        self.keys, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
 
     def add(self, keys: np.ndarray) -> None:
-        if len(keys):
-            self.keys.append(keys)
-            self.counts.append(np.ones(len(keys), np.int64))
-            self.size += len(keys)
-            if self.size >= self.settled + HELD:
-                self.settle()
+        self.new.append(keys)
+        self.size += len(keys)
+        if self.size >= HELD:
+            self.settle()
 
     def settle(self) -> None:
-        if self.keys:
-            k, c = summed(self.keys, self.counts)
-            self.keys, self.counts, self.size, self.settled = [k], [c], len(k), len(k)
+        if not self.size:
+            return
+        new = np.sort(np.concatenate(self.new))
+        first = np.flatnonzero(np.r_[True, new[1:] != new[:-1]])
+        counts = np.diff(np.r_[first, len(new)])
+        new = new[first]
+        at = np.searchsorted(self.keys, new)
+        old = np.zeros(len(new), bool)
+        inside = at < len(self.keys)
+        old[inside] = self.keys[at[inside]] == new[inside]
+        self.counts[at[old]] += counts[old]
+        self.keys, self.counts = np.insert(self.keys, at[~old], new[~old]), np.insert(self.counts, at[~old], counts[~old])
+        self.new, self.size = [], 0
 
     def full(self) -> bool:
-        return self.settled >= HELD
+        return len(self.keys) >= HELD
 
     def take(self, names: list[str]) -> Iterator[pa.RecordBatch]:
         self.settle()
-        if self.keys:
-            yield pa.RecordBatch.from_arrays([pa.array(self.keys[0].view(np.int64)), pa.array(self.counts[0])], names=names)
+        if len(self.keys):
+            yield pa.RecordBatch.from_arrays([pa.array(self.keys.view(np.int64)), pa.array(self.counts)], names=names)
         self.__init__()
 
 
@@ -85,7 +85,7 @@ def counted(d: DataFrame, what: str, depth: int = DEPTH) -> DataFrame:
             for start, end in slices(batch, 0):
                 texts = [split_words(t, lower=True) for t in batch.column(0).slice(start, end - start).to_pylist()]
                 if what == "words":
-                    sums.add(np.fromiter((known[w] for ws in texts for w in ws), np.uint64))
+                    sums.add(hashes_of(texts, known))
                 else:
                     parts = [np.frombuffer(spelled(ws, depth), np.uint8) for ws in texts]
                     flat = np.concatenate(parts).astype(np.uint64)
@@ -251,7 +251,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 n = np.fromiter(map(len, texts), np.int64)
                 score = automaton.scores(texts)
                 names = [xxhash.xxh3_128_intdigest(b" ".join(ws)) for ws in texts]
-                flat = np.fromiter((known[w] for ws in texts for w in ws), np.uint64, int(n.sum()))
+                flat = hashes_of(texts, known)
                 at = np.searchsorted(keys, flat)
                 hit = keys[np.minimum(at, len(keys) - 1)] == flat if len(keys) else np.zeros(len(flat), bool)
                 of = np.repeat(np.arange(len(texts)), n)
