@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of text handled at a time inside an Arrow batch, and bytes after which a slice ends early.
-SLICE_ROWS, SLICE_BYTES = 1024, 4_000_000
+SLICE_ROWS, SLICE_BYTES = 512, 2_000_000
 #: Words remembered with their hashes before the memory is emptied.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 250_000
 
 
 class WordHash(dict):
