@@ -104,8 +104,11 @@ def shingle_sets(texts: list[bytes | None], known: WordHash, words: int) -> tupl
         whole = [rolling(flat[ends[i] - counts[i] : ends[i]], int(counts[i]))[0] for i in short]
         h = np.concatenate([h, mixed(np.array(whole, np.uint64) + counts[short].astype(np.uint64))])
         row = np.concatenate([row, short])
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
+        order = np.argsort(row, kind="stable")
+        h, row = h[order], row[order]
+    edges = np.cumsum(np.bincount(row, minlength=len(texts)))
+    for i, j in zip([0, *edges[:-1]], edges, strict=True) if len(edges) else ():
+        h[i:j].sort()
     new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])] if len(h) else np.zeros(0, bool)
     return h[new], np.bincount(row[new], minlength=len(texts))
 
