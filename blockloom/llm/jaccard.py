@@ -33,7 +33,7 @@ from .components import components
 
 WORDS, PERCENT = 5, 80
 #: Ratio of a band's sizes, and how much a signature of at most one shingle costs beside the one that it is.
-BAND, WEAK = 1.6, 10.0
+BAND, WEAK = 1.6, 2.0
 #: Bits of a parity sketch.
 SKETCH = 1024
 #: The most candidates' ids that are broadcast (16 MB); more are joined.
