@@ -9,10 +9,10 @@ its segments (weight 1) and by its segments with their one-deletion neighbours (
 segments of either kind a scheme has is chosen by the cost of their signatures. Empty segments say
 nothing and are left out, unless a set has more of them than the slack allows.
 
-Signatures that several sets share give candidates, which are verified in two rounds, so that a group
-of n near copies costs about n checks and not n * n / 2: first every set of a bucket against the
-bucket's least; then, in buckets that still hold several components, the pairs across
-components. A parity sketch (bits toggled by each shingle) bounds the symmetric difference from below and
+Signatures that several sets share give candidates, which are verified in rounds, so that a group of
+n near copies costs about n checks and not n * n / 2: first every set of a bucket against the
+bucket's least; then, in buckets that still hold several components, the likeliest pair of each two
+components; then all pairs that are still across components. A parity sketch (bits toggled by each shingle) bounds the symmetric difference from below and
 rules out most false candidates without their texts; the rest are compared shingle by shingle.
 """
 
@@ -36,8 +36,10 @@ WORDS, PERCENT = 5, 80
 BAND, WEAK = 1.6, 2.0
 #: Bits of a parity sketch.
 SKETCH = 1024
-#: The most candidates' ids that are broadcast (16 MB); more are joined.
-BROADCAST_IDS = 2_000_000
+#: The most rows of cells, and of ids, that are broadcast (32 MB); more are joined.
+BROADCAST_CELLS, BROADCAST_IDS = 500_000, 2_000_000
+#: Texts that meet one text in a cell.
+CELL = 256
 #: Sets in a part of a bucket; larger buckets are cut, and every pair of parts is one bounded group.
 PART = 1024
 
@@ -264,43 +266,53 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, classes: DataFrame, d: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose sets link, by comparing the sets."""
-    nodes = pairs.select(F.col("a").alias("x")).union(pairs.select("b")).distinct()
-    ids = written(nodes.join(classes.select("k", "first"), F.col("x") == F.col("k")).select(F.col("first").alias("j")))
-    ids = F.broadcast(ids) if fits(ids, BROADCAST_IDS) else ids
+    """Those of the pairs (a, b) of classes whose sets link, by comparing the sets.
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
-        for batch in batches:
-            for start, end in slices(batch, 1):
-                texts = batch.column(1).slice(start, end - start)
-                h, sizes = shingle_sets(texts.to_pylist(), known, words)
-                yield pa.RecordBatch.from_arrays([pa.array(fingerprints(h, sizes).view(np.int64)), texts.filter(pa.array(sizes > 0))], names=["k", "t"])
-
-    texts = d.join(ids, F.col("i") == F.col("j"), "left_semi").mapInArrow(keyed, "k long, t binary")
-    both = pairs.join(texts.toDF("ka", "ta"), F.col("a") == F.col("ka")).select("a", "b", "ta")
-    both = both.join(texts.toDF("kb", "tb"), F.col("b") == F.col("kb")).select("a", "b", "ta", "tb")
+    The texts beside one a meet in cells of about CELL rows, each with a's text in front. So a
+    text travels once for each pair that it is in, and no cell grows with the number of pairs of its a.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts")).withColumnRenamed("a", "a2")
+    parts = written(parts)
+    part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")
+    cells = pairs.join(parts, F.col("a") == F.col("a2")).select("a", part.alias("part"), F.lit(1).alias("place"), F.col("b").alias("node"))
+    heads = parts.select(F.col("a2").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("place"), F.col("a2").alias("node"))
+    cells = cells.unionByName(heads).join(classes.select("k", F.col("first").alias("j")), F.col("node") == F.col("k")).drop("k")
+    cells = written(cells)
+    cells = F.broadcast(cells) if fits(cells, BROADCAST_CELLS) else cells
+    names = ["a", "part", "place", "node"]
+    rows = d.join(cells, F.col("i") == F.col("j")).select(*names, "t").repartition("a", "part").sortWithinPartitions(*names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
+        known, head, of = WordHash(), None, None
         for batch in batches:
-            for start, end in slices(batch, 2):
-                part, ok = batch.slice(start, end - start), []
-                x, y = (shingle_sets(part.column(c).to_pylist(), known, words) for c in (2, 3))
-                xs, ys = (np.split(h, np.cumsum(sizes)[:-1]) for h, sizes in (x, y))
-                for u, v in zip(xs, ys, strict=True):
-                    shared = np.intersect1d(u, v, assume_unique=True).size
-                    ok.append(100 * shared >= percent * (len(u) + len(v) - shared))
-                yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return both.mapInArrow(compare, "a long, b long")
-
-
-def across(members: DataFrame, percent: int) -> DataFrame:
-    """(s, k, p, root, n, sketch) -> (a, b): pairs of a bucket in different components that may link, without those of its least."""
+            for start, end in slices(batch, 4):
+                part = batch.slice(start, end - start)
+                a, place, node = (part.column(c).to_pylist() for c in (0, 2, 3))
+                h, sizes = shingle_sets(part.column(4).to_pylist(), known, words)
+                name = np.zeros(len(sizes), np.uint64)
+                name[sizes > 0] = fingerprints(h, sizes)
+                ends, found = np.cumsum(sizes), []
+                for r, k in enumerate(name.view(np.int64).tolist()):
+                    own = h[ends[r] - sizes[r] : ends[r]]
+                    if k != node[r]:
+                        continue  # another text under the same id
+                    if place[r] == 0:
+                        head, of = own.copy(), a[r]
+                    elif of == a[r]:
+                        shared = np.intersect1d(head, own, assume_unique=True).size
+                        if 100 * shared >= percent * (len(head) + len(own) - shared):
+                            found.append((a[r], k))
+                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+    return rows.mapInArrow(compare, "a long, b long").distinct()
+
+
+def across(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(s, k, p, root) -> (a, b, x, y, different): pairs of a bucket in different components x < y that may link, without those of
+    the bucket's least; `different` is what their sketches differ by."""
     sizes = members.groupBy("s").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     sizes = written(sizes.select(F.col("s").alias("s2"), F.ceil(F.col("m") / PART).cast("int").alias("parts")))
-    m = members.where("k <> p").join(sizes, F.col("s") == F.col("s2"))
+    m = members.where("k <> p").join(sizes, F.col("s") == F.col("s2")).join(classes.select(F.col("k").alias("k2"), "n", "sketch"), F.col("k") == F.col("k2"))
     m = m.withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     m = m.select("s", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "k", "root", "n", "sketch")
     names = ["s", "x", "y"]
@@ -319,10 +331,12 @@ def across(members: DataFrame, percent: int) -> DataFrame:
             u, v = rows[u], right[v]
             for j in range(0, len(u), 65536):
                 a, b = u[j : j + 65536], v[j : j + 65536]
-                ok = may_link(n[a], n[b], np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64), percent)
-                a, b = k[a[ok]], k[b[ok]]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                different = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+                ok = may_link(n[a], n[b], different, percent)
+                if ok.any():
+                    a, b, different = a[ok], b[ok], different[ok]
+                    out = [np.minimum(k[a], k[b]), np.maximum(k[a], k[b]), np.minimum(root[a], root[b]), np.maximum(root[a], root[b]), different]
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in out], names=["a", "b", "x", "y", "different"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -339,7 +353,12 @@ def across(members: DataFrame, percent: int) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield from pairs(rest)
 
-    return m.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "a long, b long").distinct()
+    return m.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "a long, b long, x long, y long, different long").distinct()
+
+
+def grouped(found: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of buckets with the components that they are in so far."""
+    return written(found.join(roots, F.col("k") == F.col("node"), "left").select("s", "k", "p", F.coalesce("root", "k").alias("root")))
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -360,10 +379,18 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     found = written(buckets(signatures_of(with_id, words, percent)))
     stars = found.where("k <> p").select(F.col("p").alias("a"), F.col("k").alias("b")).distinct()
     near = written(verified(written(plausible(stars, classes, percent)), classes, with_id, words, percent))
-    roots = components(near)
-    members = found.join(roots, F.col("k") == F.col("node"), "left").select("s", "k", "p", F.coalesce("root", "k").alias("root"))
-    members = written(members).join(classes.select(F.col("k").alias("k2"), "n", "sketch"), F.col("k") == F.col("k2")).drop("k2")
-    more = verified(written(across(members, percent)), classes, with_id, words, percent)
+    # The likeliest pair of each two components comes first: where it links, the others needn't be looked at.
+    pairs = written(across(grouped(found, components(near)), classes, percent))
+    best = pairs.groupBy("x", "y").agg(F.min(F.struct("different", "a", "b")).alias("m")).select("m.a", "m.b")
+    best = written(best)
+    near = written(near.unionByName(verified(best, classes, with_id, words, percent)))
+    roots = written(components(near))
+    ends = roots.select(F.col("node").alias("k2"), "root")
+    rest = pairs.select("a", "b").join(best.withColumnsRenamed({"a": "a2", "b": "b2"}), (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")), "left_anti")
+    for side in ("a", "b"):
+        rest = rest.join(ends.withColumnsRenamed({"k2": f"k{side}", "root": f"r{side}"}), F.col(side) == F.col(f"k{side}"), "left")
+    rest = rest.where(~F.coalesce("ra", "a").eqNullSafe(F.coalesce("rb", "b"))).select("a", "b")
+    more = verified(written(rest), classes, with_id, words, percent)
     roots = written(components(near.unionByName(more)))
     named = classes.join(roots, F.col("k") == F.col("node"), "left").select("k", "first", F.coalesce("root", "k").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("least")).withColumnRenamed("root", "r")
