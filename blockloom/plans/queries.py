@@ -14,6 +14,7 @@ from blockloom.sources import images, sinks
 
 from . import pipeline
 from .config import VQConfig
+from .tables import written
 
 #: Codes of the fixed codebook: every n-th vector. The queries after training use it, so that SQL can follow them.
 CODES = 16
@@ -27,6 +28,7 @@ class Scene:
         self.side = images.events_side(spark, sf_dir)
         self.n = (self.side // 4) ** 2
         self.config = VQConfig(width=self.side, height=self.side, codes=CODES)
+        self.tables: dict[str, DataFrame] = {}
 
     def pixels(self, color: bool = True) -> DataFrame:
         return images.events_image(self.spark, self.sf_dir, color=color, side=self.side)
@@ -34,21 +36,31 @@ class Scene:
     def vectors(self, color: bool = True) -> DataFrame:
         return blocks.to_vectors(self.pixels(color), self.side)
 
-    def codebook(self, vectors: DataFrame) -> DataFrame:
+    def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that several steps of a query read is made once."""
+        if name not in self.tables:
+            self.tables[name] = written(make())
+        return self.tables[name]
+
+    def blocks(self) -> DataFrame:
+        return self.kept("blocks", self.vectors)
+
+    def codebook(self) -> DataFrame:
         step = max(1, self.n // CODES)
         code = F.floor(F.col("vec_idx") / step).cast("int")
-        return vectors.where((F.col("vec_idx") % step == 0) & (code < CODES)).select(*PLANE, code.alias("code"), F.col("v").cast("array<double>").alias("w"))
+        return self.blocks().where((F.col("vec_idx") % step == 0) & (code < CODES)).select(*PLANE, code.alias("code"), F.col("v").cast("array<double>").alias("w"))
 
     def labelled(self) -> DataFrame:
-        v = self.vectors()
-        return assign.nearest(v, self.codebook(v))
+        return self.kept("labelled", lambda: assign.nearest(self.blocks(), self.codebook()))
 
     def deltas(self) -> DataFrame:
         return coding.delta_encode(self.labelled())
 
     def decoded(self) -> DataFrame:
-        v = self.vectors()
-        return blocks.decode(self.labelled(), self.codebook(v), self.side)
+        return blocks.decode(self.labelled(), self.codebook(), self.side)
+
+    def pairs(self) -> DataFrame:
+        return self.kept("pairs", lambda: stencil.paired(self.pixels(), self.decoded()))
 
 
 def cells(vectors: DataFrame, *columns: str, array: str = "v") -> DataFrame:
@@ -107,13 +119,12 @@ def seed_codeword(spark, sf_dir):
 
 def codebook_split(spark, sf_dir):
     s = Scene(spark, sf_dir)
-    return rounded6(cells(assign.split_codebook(s.codebook(s.vectors())), "code", array="w"), "v")
+    return rounded6(cells(assign.split_codebook(s.codebook()), "code", array="w"), "v")
 
 
 def sq_distance(spark, sf_dir):
     s = Scene(spark, sf_dir)
-    v = s.vectors()
-    return plain(assign.distances(v, s.codebook(v)))
+    return plain(assign.distances(s.blocks(), s.codebook()))
 
 
 def nearest_codeword(spark, sf_dir):
@@ -122,8 +133,7 @@ def nearest_codeword(spark, sf_dir):
 
 def lloyd_step(spark, sf_dir):
     s = Scene(spark, sf_dir)
-    book = s.codebook(s.vectors())
-    return rounded6(cells(assign.update_codebook(book, assign.cell_sums(s.labelled())), "code", array="w"), "v")
+    return rounded6(cells(assign.update_codebook(s.codebook(), assign.cell_sums(s.labelled())), "code", array="w"), "v")
 
 
 def lloyd_distortion(spark, sf_dir):
@@ -133,10 +143,9 @@ def lloyd_distortion(spark, sf_dir):
 def empty_cell_carry(spark, sf_dir):
     """The step of a codebook with one more code, far from every vector, which keeps its value."""
     s = Scene(spark, sf_dir)
-    v = s.vectors()
-    far = s.codebook(v).where("code = 0").select(*PLANE, F.lit(CODES).alias("code"), F.array_repeat(F.lit(10000.0), 16).alias("w"))
-    book = s.codebook(v).unionByName(far)
-    new = assign.update_codebook(book, assign.cell_sums(assign.nearest(v, book)))
+    far = s.codebook().where("code = 0").select(*PLANE, F.lit(CODES).alias("code"), F.array_repeat(F.lit(10000.0), 16).alias("w"))
+    book = s.codebook().unionByName(far)
+    new = assign.update_codebook(book, assign.cell_sums(assign.nearest(s.blocks(), book)))
     return rounded6(cells(new, "code", array="w"), "v")
 
 
@@ -203,13 +212,13 @@ def embedding_nearest(spark, sf_dir):
 
 def codebook_u8(spark, sf_dir):
     s = Scene(spark, sf_dir)
-    book = assign.update_codebook(s.codebook(s.vectors()), assign.cell_sums(s.labelled()))
+    book = assign.update_codebook(s.codebook(), assign.cell_sums(s.labelled()))
     return plain(pipeline.codebook_bytes(book)).select("channel", "code", F.posexplode("w").alias("pos", "v"))
 
 
 def codebook_head(spark, sf_dir):
     s = Scene(spark, sf_dir)
-    return plain(pipeline.codebook_head(s.codebook(s.vectors())))
+    return plain(pipeline.codebook_head(s.codebook()))
 
 
 def decompress(spark, sf_dir):
@@ -288,23 +297,23 @@ def gaussian_window(spark, sf_dir):
 
 def mse_psnr(spark, sf_dir):
     s = Scene(spark, sf_dir)
-    return rounded6(plain(fidelity.mse_psnr(stencil.paired(s.pixels(), s.decoded()))), "mse", "psnr")
+    return rounded6(plain(fidelity.mse_psnr(s.pairs())), "mse", "psnr")
 
 
 def ssim_map(spark, sf_dir):
     s = Scene(spark, sf_dir)
-    return rounded6(plain(stencil.ssim_map(stencil.paired(s.pixels(), s.decoded()), s.side, s.side)), "ssim")
+    return rounded6(plain(stencil.ssim_map(s.pairs(), s.side, s.side)), "ssim")
 
 
 def ssim_mean(spark, sf_dir):
     s = Scene(spark, sf_dir)
-    m = stencil.ssim_map(stencil.paired(s.pixels(), s.decoded()), s.side, s.side)
+    m = stencil.ssim_map(s.pairs(), s.side, s.side)
     return rounded6(m.groupBy("channel").agg(F.count("*").alias("windows"), F.avg("ssim").alias("ssim")), "ssim")
 
 
 def rgb_aggregate(spark, sf_dir):
     s = Scene(spark, sf_dir)
-    pairs = stencil.paired(s.pixels(), s.decoded())
+    pairs = s.pairs()
     planes = fidelity.mse_psnr(pairs).join(stencil.ssim_map(pairs, s.side, s.side).groupBy(*PLANE).agg(F.avg("ssim").alias("ssim")), PLANE)
     planes = planes.join(coding.huffman_sizes(coding.histogram(s.deltas(), "d")), PLANE)
     got = fidelity.image_metrics(planes, s.side**2, s.config.codes * s.config.length)
@@ -324,9 +333,9 @@ def weighted_split_plan(spark, sf_dir):
 def two_codeword_psnr(spark, sf_dir):
     """Seed, one split, one step, decode, metrics: the smallest slice of the whole pipeline."""
     s = Scene(spark, sf_dir)
-    v = s.vectors(color=False)
+    v = s.kept("gray", lambda: s.vectors(color=False))
     book = assign.split_codebook(assign.seed_codeword(v))
-    labelled = assign.nearest(v, book)
+    labelled = written(assign.nearest(v, book))
     new = assign.update_codebook(book, assign.cell_sums(labelled))
     return rounded6(plain(fidelity.mse_psnr(stencil.paired(s.pixels(False), blocks.decode(labelled, new, s.side)))), "mse", "psnr")
 
