@@ -125,6 +125,21 @@ def huffman_codes(hist: DataFrame) -> DataFrame:
     return hist.select(*PLANE, F.col("symbol").cast("int").alias("symbol"), F.col("freq").cast("long").alias("freq")).groupBy(*PLANE).applyInArrow(build, "image_id string, channel string, symbol int, freq long, len int, bits long")
 
 
+def bit_offsets(deltas: DataFrame, codes: DataFrame) -> DataFrame:
+    """(…, vec_idx, d, len, bits, start): where each code begins in its plane's stream, by a running sum of lengths. At most 256 codes a plane."""
+    words = codes.select(*PLANE, F.col("symbol").alias("d"), "len", "bits")
+    coded = deltas.select(*PLANE, "vec_idx", "d").join(words, [*PLANE, "d"])
+    run = in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return coded.withColumn("start", F.sum("len").over(run) - F.col("len"))
+
+
+def mismatches(first: DataFrame, second: DataFrame, column: str = "label") -> DataFrame:
+    """(…, mismatches) of two label tables: rows that only one has, or that differ. A full outer join by plane and block."""
+    a = first.select(*PLANE, "vec_idx", F.col(column).alias("a"))
+    b = second.select(*PLANE, "vec_idx", F.col(column).alias("b"))
+    return a.join(b, [*PLANE, "vec_idx"], "full").groupBy(*PLANE).agg(F.sum((~F.col("a").eqNullSafe(F.col("b"))).cast("bigint")).alias("mismatches"))
+
+
 def huffman_encode(deltas: DataFrame) -> DataFrame:
     """(…, n, data, data_bytes, header_bytes, roundtrip): the stream of each plane, and whether decoding it gives the plane back.
 

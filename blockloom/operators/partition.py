@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,3 +43,15 @@ def split_plan(spark: SparkSession, n: int, ranks: int, strategy: str | None = N
         return equal_split(spark, n, ranks)
     speeds = speeds or [1.0] * ranks
     return weighted_split(spark.createDataFrame([(i, float(v)) for i, v in enumerate(speeds)], "rank int, speed double"), n)
+
+
+def calibrate_speed(vectors: int = 512, codes: int = 64, length: int = 16, rounds: int = 2) -> float:
+    """Distance comparisons a second on this machine: a measurement, different each time, for weighted_split."""
+    from .train import assign
+
+    rng = np.random.default_rng(1)
+    x, w = (rng.integers(0, 256, (n, length)).astype(np.float32) for n in (vectors, codes))
+    began = time.perf_counter()
+    for _ in range(rounds):
+        assign(x, w)
+    return rounds * vectors * codes / max(1e-9, time.perf_counter() - began)

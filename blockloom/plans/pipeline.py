@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from blockloom.functions.pixels import rounded
 from blockloom.operators import blocks, coding, fidelity, stencil, train
 from blockloom.operators.blocks import PLANE
+from blockloom.sources import sinks
+from blockloom.sources.images import GRAY
 
 from .config import VQConfig
 from .tables import written
@@ -67,6 +69,16 @@ def images(result: Result, config: VQConfig) -> DataFrame:
     return fidelity.image_metrics(result.planes, config.width * config.height, config.codes * config.length)
 
 
+def write_outputs(result: Result, pixels: DataFrame, config: VQConfig, path: str) -> None:
+    """BMP files of the input, the decoded and the filtered images in folders of their own, and the latter two as text if they are gray."""
+    for name, cells in (("original", pixels), ("compressed_raw", result.raw), ("compressed_filtered", result.filtered)):
+        sinks.write_bmp(cells, config.width, config.height, f"{path}/{name}")
+    for name, cells in (("lbg_decompress", result.raw), ("decompress", result.filtered)):
+        gray = cells.where(F.col("channel") == GRAY)
+        if gray.limit(1).count():
+            sinks.write_text(gray, f"{path}/{name}")
+
+
 def codebook_bytes(codebook: DataFrame) -> DataFrame:
     """Codewords as whole numbers."""
     return codebook.select(*PLANE, "code", F.transform("w", rounded).alias("w"))

@@ -276,6 +276,25 @@ def huffman_roundtrip(spark, sf_dir):
     return plain(coding.huffman_encode(Scene(spark, sf_dir).deltas())).drop("data")
 
 
+def bit_offsets(spark, sf_dir):
+    s = Scene(spark, sf_dir)
+    deltas = s.deltas()
+    return plain(coding.bit_offsets(deltas, coding.huffman_codes(coding.histogram(deltas, "d"))))
+
+
+def stream_bits(spark, sf_dir):
+    """The last code of each plane ends where its stream does."""
+    s = Scene(spark, sf_dir)
+    deltas = s.deltas()
+    at = coding.bit_offsets(deltas, coding.huffman_codes(coding.histogram(deltas, "d")))
+    return at.groupBy("channel").agg(F.count("*").alias("symbols"), F.max(F.col("start") + F.col("len")).alias("bits"))
+
+
+def roundtrip_mismatches(spark, sf_dir):
+    s = Scene(spark, sf_dir)
+    return plain(coding.mismatches(s.labelled(), coding.delta_decode(s.deltas())))
+
+
 def compression_ratios(spark, sf_dir):
     s = Scene(spark, sf_dir)
     sizes = coding.huffman_sizes(coding.histogram(s.deltas(), "d"))
@@ -369,7 +388,7 @@ NAMES = """two_codeword_psnr image_pixels image_pixels_rgb clamp_pixels integer_
 channel_recombine seed_codeword codebook_split sq_distance nearest_codeword lloyd_step lloyd_distortion empty_cell_carry lbg_codebook_small
 lbg_labels_small lbg_iterations_small lbg_distributed_small lbg_codebook lbg_labels lbg_iterations embedding_vq embedding_nearest codebook_u8
 codebook_head decompress label_entropy delta_entropy delta_encode delta_decode symbol_freq used_symbols huffman_sizes huffman_event_types
-huffman_codes huffman_lengths huffman_encode huffman_roundtrip compression_ratios bilateral_filter gaussian_window mse_psnr ssim_map ssim_mean
+huffman_codes huffman_lengths huffman_encode huffman_roundtrip bit_offsets stream_bits roundtrip_mismatches compression_ratios bilateral_filter gaussian_window mse_psnr ssim_map ssim_mean
 rgb_aggregate equal_split_plan weighted_split_plan bmp_image text_image pipeline_gray pipeline_color""".split()
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in NAMES}

@@ -160,6 +160,8 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT list_sort(list_append(q[3:], q[1] + q[2])), (cost + q[1] + q[2])::BIGINT FROM t WHERE len(q) > 1) SELECT cost AS bits FROM t WHERE len(q) = 1""",
     "huffman_lengths": sql("SELECT channel, 1.0::DOUBLE AS kraft, bits FROM sizes", "sizes"),
     "huffman_roundtrip": sql("SELECT channel, blocks AS n, data_bytes, header_bytes, true AS roundtrip FROM sizes, step", "sizes", "step"),
+    "stream_bits": sql("SELECT channel, blocks AS symbols, bits FROM sizes, step", "sizes", "step"),
+    "roundtrip_mismatches": sql("SELECT channel, 0::BIGINT AS mismatches FROM near GROUP BY channel", "near"),
     "compression_ratios": sql(f"SELECT channel, round(cr_data, 6) AS cr_data, round(cr_total, 6) AS cr_total, round(cr_system, 6) AS cr_system, round(cr_fixed, 6) AS cr_fixed, round(8 / cr_system, 6) AS bpp FROM (SELECT channel, {RATIOS} FROM sizes, dims, step)", "sizes", "step"),
     "bilateral_filter": sql(
         """SELECT channel, y, x, floor(greatest(0, least(255, 0.8::DOUBLE * v + (1.0::DOUBLE - 0.8::DOUBLE) * m)) + 0.5)::INT AS v FROM (

@@ -263,3 +263,35 @@ def test_stream_of_images(spark, tmp_path):
     query = metrics_stream(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/state", SMALL)
     query.awaitTermination(120)
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == 1
+
+
+def test_offsets_place_every_code(spark):
+    values = [3, 3, 3, 7, 7, 200, 3, 0, 7, 3]
+    d = spark.createDataFrame([("i", "Gray", n, v) for n, v in enumerate(values)], "image_id string, channel string, vec_idx int, d int")
+    rows = coding.bit_offsets(d, coding.huffman_codes(coding.histogram(d, "d"))).orderBy("vec_idx").collect()
+    data = bytes(coding.huffman_encode(d).head().data)
+    stream = "".join(f"{b:08b}" for b in data)
+    assert [r.d for r in rows] == values
+    assert all(stream[r.start : r.start + r.len] == f"{r.bits:0{r.len}b}" for r in rows)
+    assert -(-(rows[-1].start + rows[-1].len) // 8) == len(data)
+
+
+def test_mismatches(spark):
+    a, b = labels_of(spark, [1, 2, 3]), labels_of(spark, [1, 5, 3, 4])
+    assert coding.mismatches(a, a).head().mismatches == 0
+    assert coding.mismatches(a, b).head().mismatches == 2
+
+
+def test_speed_is_a_number():
+    assert partition.calibrate_speed(rounds=1) > 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from blockloom.__main__ import main
+
+    (tmp_path / "g.txt").write_text("\n".join(map(str, noise(1).ravel())))
+    assert main(["--grey"], spark) == 1
+    assert main([f"file://{tmp_path}/g.txt", "--size", "16x16", "--out", f"file://{tmp_path}/out"], spark) == 0
+    assert "round trip ok" in capsys.readouterr().out
+    assert len(list((tmp_path / "out" / "compressed_filtered").glob("*.bmp"))) == 1
+    assert spark.read.text(f"file://{tmp_path}/out/decompress").count() == 256
