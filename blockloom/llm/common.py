@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -14,20 +15,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: Rows of text handled at a time inside an Arrow batch, and bytes after which a slice ends early.
 SLICE_ROWS, SLICE_BYTES = 512, 2_000_000
-#: Words remembered with their hashes before the memory is emptied.
-KNOWN_WORDS = 250_000
-
-
-class WordHash(dict):
-    """bytes -> 64-bit hash; remembers words, within a fixed bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+#: An odd base of polynomial hashes, its inverse modulo 2**64, and the most bytes of a word that is hashed so.
+BASE = 0x9E3779B97F4A7C15
+BACK, LONG_WORD = pow(BASE, -1, 1 << 64), 32
 
 
 def split_words(text: bytes | None, lower: bool = False) -> list[bytes]:
@@ -50,16 +44,57 @@ def slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int]]:
         yield start, batch.num_rows
 
 
-def hashes_of(words: list[list[bytes]], known: WordHash) -> np.ndarray:
-    """Hashes of all words of all texts, end to end."""
-    return np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.uint64, sum(map(len, words)))
+def remembered(key: tuple, make: Callable[[], T]) -> T:
+    """make(), once for each process and key. Kept beside the interpreter's state, so that it never travels with a function."""
+    held = sys.__dict__.setdefault("_blockloom", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
+def hash_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes with A-Z lower-cased, whether a byte parts words, a random number for each byte)."""
+    lower, space = np.arange(256, dtype=np.uint8), np.zeros(256, bool)
+    lower[65:91] += 32
+    space[[9, 10, 11, 12, 13, 32]] = True
+    return lower, space, np.random.default_rng(BASE).integers(0, 1 << 64, 256, np.uint64)
 
 
-def hashed(texts: list[bytes | None], known: WordHash, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words of all texts, end to end; number of words of each text)."""
-    words = [split_words(t, lower) for t in texts]
-    counts = np.fromiter(map(len, words), np.int64, len(words))
-    return hashes_of(words, known), counts
+def powers(n: int, base: int) -> np.ndarray:
+    """base**0, base**1, ... modulo 2**64, n of them or up to twice as many."""
+
+    def make(size: int) -> np.ndarray:
+        steps = np.full(size, base, np.uint64)
+        steps[0] = 1
+        return np.multiply.accumulate(steps)
+
+    size = max(1 << 21, 1 << (n - 1).bit_length())
+    return remembered(("powers", base), lambda: make(size)) if size == 1 << 21 else make(size)
+
+
+def hashed(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all words of all texts, end to end; number of words of each text).
+
+    A word's hash is a polynomial in BASE of its bytes' random numbers, taken from running sums over
+    the whole buffer, with its length, mixed. Long words, for which two polynomials could be made to meet, are hashed one by one.
+    """
+    small, parts, number = remembered(("tables",), hash_tables)
+    raw = b"\n" + b"\n".join(t or b"" for t in texts) + b"\n"
+    flat = np.frombuffer(raw, np.uint8)
+    flat = small[flat] if lower else flat
+    blank = parts[flat]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    sums = number[flat]
+    sums *= powers(len(flat), BASE)[: len(flat)]
+    np.cumsum(sums, out=sums)
+    size = ends - starts
+    h = (sums[ends - 1] - sums[starts - 1]) * powers(len(flat), BACK)[starts]
+    h = mixed(h + size.astype(np.uint64))
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(flat[starts[k] : ends[k]].tobytes())
+    last = np.cumsum(np.fromiter(map(len, (t or b"" for t in texts)), np.int64, len(texts)) + 1)
+    return h, np.diff(np.searchsorted(starts, last), prepend=0)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -69,7 +104,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def rolling(words: np.ndarray, width: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+def rolling(words: np.ndarray, width: int, base: int = BASE) -> np.ndarray:
     """Rabin-Karp: the polynomial hash modulo 2**64 of each run of `width` words, mixed at the end.
 
     Words come as random 64-bit hashes and the base is odd, so two different runs meet with

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, as_bytes, documents, fits, hashed, mixed, rolling, slices, written
+from .common import as_bytes, documents, fits, hashed, mixed, remembered, rolling, slices, written
 from .components import components
 
 WORDS, PERCENT = 5, 80
@@ -77,9 +76,13 @@ def allocate(n: float, low: int, need: int) -> tuple[int, int, int]:
     return best[1:]
 
 
-@lru_cache
 def schemes(limit: int, percent: int) -> list[Scheme]:
     """Schemes for all sizes up to `limit`. Sets that link with equal ones only need none."""
+    bound = 1 << max(10, (limit - 1).bit_length())
+    return [s for s in remembered(("schemes", bound, percent), lambda: made_schemes(bound, percent)) if s.low <= limit]
+
+
+def made_schemes(limit: int, percent: int) -> list[Scheme]:
     out, low = [], 1
     while low <= limit:
         if most_different(low, 100 * low // percent, percent) == 0:
@@ -93,9 +96,9 @@ def schemes(limit: int, percent: int) -> list[Scheme]:
     return out
 
 
-def shingle_sets(texts: list[bytes | None], known: WordHash, words: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: list[bytes | None], words: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingle hashes of all texts, end to end; their number for each text)."""
-    flat, counts = hashed(texts, known, lower=True)
+    flat, counts = hashed(texts, lower=True)
     ends = np.cumsum(counts)
     n = np.maximum(counts - words + 1, 0)
     row = np.repeat(np.arange(len(texts)), n)
@@ -168,11 +171,10 @@ def keys_of(d: DataFrame, words: int) -> DataFrame:
     """(i, t) -> (i, n, k, sketch): the size, fingerprint and sketch of each set; k and sketch are null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
         for batch in batches:
             for start, end in slices(batch, 1):
                 part = batch.slice(start, end - start)
-                h, sizes = shingle_sets(part.column(1).to_pylist(), known, words)
+                h, sizes = shingle_sets(part.column(1).to_pylist(), words)
                 k = np.zeros(len(sizes), np.uint64)
                 k[sizes > 0] = fingerprints(h, sizes)
                 sketch = [x.tobytes() if n else None for x, n in zip(sketches(h, sizes), sizes, strict=True)]
@@ -185,10 +187,10 @@ def signatures_of(d: DataFrame, words: int, percent: int) -> DataFrame:
     """(i, t) -> (s, k): the signatures of every different set of a task, once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = WordHash(), set()
+        seen: set[int] = set()
         for batch in batches:
             for start, end in slices(batch, 1):
-                h, sizes = shingle_sets(batch.column(1).slice(start, end - start).to_pylist(), known, words)
+                h, sizes = shingle_sets(batch.column(1).slice(start, end - start).to_pylist(), words)
                 if not len(h):
                     continue
                 k = np.zeros(len(sizes), np.uint64)
@@ -283,12 +285,12 @@ def verified(pairs: DataFrame, classes: DataFrame, d: DataFrame, words: int, per
     rows = d.join(cells, F.col("i") == F.col("j")).select(*names, "t").repartition("a", "part").sortWithinPartitions(*names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, head, of = WordHash(), None, None
+        head = of = None
         for batch in batches:
             for start, end in slices(batch, 4):
                 part = batch.slice(start, end - start)
                 a, place, node = (part.column(c).to_pylist() for c in (0, 2, 3))
-                h, sizes = shingle_sets(part.column(4).to_pylist(), known, words)
+                h, sizes = shingle_sets(part.column(4).to_pylist(), words)
                 name = np.zeros(len(sizes), np.uint64)
                 name[sizes > 0] = fingerprints(h, sizes)
                 ends, found = np.cumsum(sizes), []

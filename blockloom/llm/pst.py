@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, as_bytes, documents, hashes_of, slices, split_words, written
+from .common import as_bytes, documents, hashed, slices, split_words, written
 from .quality import held_out
 
 DEPTH, LEAST_SHARE, DIVERGENCE, SMOOTH = 6, 1e-5, 0.002, 30.0
@@ -80,14 +80,14 @@ def counted(d: DataFrame, what: str, depth: int = DEPTH) -> DataFrame:
     """(t binary) -> (k, c): counts of words' hashes, or of runs of depth + 1 symbols (the newest in the lowest byte)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sums = WordHash(), Sums()
+        sums = Sums()
         for batch in batches:
             for start, end in slices(batch, 0):
-                texts = [split_words(t, lower=True) for t in batch.column(0).slice(start, end - start).to_pylist()]
+                texts = batch.column(0).slice(start, end - start).to_pylist()
                 if what == "words":
-                    sums.add(hashes_of(texts, known))
+                    sums.add(hashed(texts, lower=True)[0])
                 else:
-                    parts = [np.frombuffer(spelled(ws, depth), np.uint8) for ws in texts]
+                    parts = [np.frombuffer(spelled(split_words(t, lower=True), depth), np.uint8) for t in texts]
                     flat = np.concatenate(parts).astype(np.uint64)
                     key = np.zeros(len(flat) - depth, np.uint64)
                     for j in range(depth + 1):
@@ -243,15 +243,15 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     end_score = float(np.log10((ends + 0.1) / below))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, automaton, (keys, logs) = WordHash(), tree.value, frequent.value
+        automaton, (keys, logs) = tree.value, frequent.value
         for batch in batches:
             for start, end in slices(batch, 1):
                 part = batch.slice(start, end - start)
-                texts = [split_words(t, lower=True) for t in part.column(1).to_pylist()]
-                n = np.fromiter(map(len, texts), np.int64)
+                raw = part.column(1).to_pylist()
+                flat, n = hashed(raw, lower=True)
+                texts = [split_words(t, lower=True) for t in raw]
                 score = automaton.scores(texts)
                 names = [xxhash.xxh3_128_intdigest(b" ".join(ws)) for ws in texts]
-                flat = hashes_of(texts, known)
                 at = np.searchsorted(keys, flat)
                 hit = keys[np.minimum(at, len(keys) - 1)] == flat if len(keys) else np.zeros(len(flat), bool)
                 of = np.repeat(np.arange(len(texts)), n)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, as_bytes, documents, hashed, rolling, slices
+from .common import as_bytes, documents, hashed, rolling, slices
 
 #: The most labelled rows that the trees learn from: those with the smallest hashes of their ids.
 TRAIN_ROWS = 20_000
@@ -36,7 +36,7 @@ def distinct_share(hashes: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.n
     return np.where(n, np.bincount(r[first], minlength=rows) / np.maximum(n, 1), 1.0), top / np.maximum(n, 1)
 
 
-def statistics(texts: list[bytes | None], known: WordHash) -> np.ndarray:
+def statistics(texts: list[bytes | None]) -> np.ndarray:
     """(documents, FEATURES) statistics of whole texts; those of a null text are those of an empty one."""
     rows = len(texts)
     texts = [t or b"" for t in texts]
@@ -45,7 +45,7 @@ def statistics(texts: list[bytes | None], known: WordHash) -> np.ndarray:
     share = counts / np.maximum(size, 1)[:, None]
     classes = np.stack([share[:, list(c)].sum(axis=1) for c in CLASSES], axis=1)
     entropy = -(share * np.log2(np.where(share > 0, share, 1))).sum(axis=1)
-    flat, words = hashed(texts, known)
+    flat, words = hashed(texts)
     row = np.repeat(np.arange(rows), words)
     distinct, top = distinct_share(flat, row, rows)
     doubled = np.bincount(row[1:][(flat[1:] == flat[:-1]) & (row[1:] == row[:-1])], minlength=rows) / np.maximum(words - 1, 1)
@@ -128,11 +128,10 @@ def scored(d: DataFrame, model: Trees | None) -> DataFrame:
     sent = d.sparkSession.sparkContext.broadcast(model) if model else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
         for batch in batches:
             for start, end in slices(batch, 1):
                 part = batch.slice(start, end - start)
-                x = statistics(part.column(1).to_pylist(), known)
+                x = statistics(part.column(1).to_pylist())
                 if sent:
                     yield pa.RecordBatch.from_arrays([pa.array(sent.value.score(x)), *part.columns[2:]], names=["score", *batch.schema.names[2:]])
                 else:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, as_bytes, documents, hashed, rolling, slices, split_words
+from .common import as_bytes, documents, hashed, rolling, slices, split_words
 
 WIDTH, GRAM = 13, 5
 #: Two to this many bits in the bitmap of shared minimizers (16 MB), sent in pieces of 2**SEGMENT bits.
@@ -56,13 +56,13 @@ def minimizers(flat: np.ndarray, width: int, gram: int) -> np.ndarray:
     return least_in_runs(rolling(flat, gram), width - gram + 1)
 
 
-def batches_of(batch: pa.RecordBatch, known: WordHash) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def batches_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(ids, flat word hashes, word counts) of the rows that have an id."""
     for start, end in slices(batch, 1):
         part = batch.slice(start, end - start)
         part = part.filter(part.column(0).is_valid())
         if part.num_rows:
-            flat, counts = hashed(part.column(1).to_pylist(), known)
+            flat, counts = hashed(part.column(1).to_pylist())
             yield part.column(0).to_numpy(zero_copy_only=False), flat, counts
 
 
@@ -70,7 +70,7 @@ def shared_minimizers(d: DataFrame, width: int, gram: int) -> DataFrame:
     """Minimizers (column m) that windows of at least two different ids have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, size = WordHash(), [], 0
+        held, size = [], 0
 
         def flush() -> pa.RecordBatch:
             m, i = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -85,7 +85,7 @@ def shared_minimizers(d: DataFrame, width: int, gram: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(m[by_id].view(np.int64)), pa.array(i[by_id])], names=["m", "i"])
 
         for batch in batches:
-            for ids, flat, counts in batches_of(batch, known):
+            for ids, flat, counts in batches_of(batch):
                 at, row = starts(counts, width)
                 if not len(at):
                     continue
@@ -138,7 +138,7 @@ def losses(d: DataFrame, width: int, gram: int) -> DataFrame:
     sent = spark.sparkContext.broadcast(bitmap(shared_minimizers(d, width, gram), "m"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, size, bits = WordHash(), [], 0, sent.value
+        held, size, bits = [], 0, sent.value
 
         def flush() -> pa.RecordBatch:
             h, i = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -155,7 +155,7 @@ def losses(d: DataFrame, width: int, gram: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(i), pa.array(h.view(np.int64), mask=~lost)], names=["key", "i", "h"])
 
         for batch in batches:
-            for ids, flat, counts in batches_of(batch, known):
+            for ids, flat, counts in batches_of(batch):
                 at, row = starts(counts, width)
                 if not len(at):
                     continue
@@ -213,15 +213,16 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     columns = [("i", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("spans", pa.list_(pa.list_(pa.int32())))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
         for batch in batches:
             for start, end in slices(batch, 1):
                 part, rows = batch.slice(start, end - start), []
-                for text, hs in zip(part.column(1).to_pylist(), part.column(2), strict=True):
+                texts = part.column(1).to_pylist()
+                flat, counts = hashed(texts)
+                ends = np.cumsum(counts)
+                for text, hs, n, end_ in zip(texts, part.column(2), counts, ends, strict=True):
                     words, spans = split_words(text), []
                     if hs.is_valid:
-                        flat = np.fromiter((known[w] for w in words), np.uint64, len(words))
-                        hit = np.flatnonzero(np.isin(rolling(flat, width).view(np.int64), hs.values.to_numpy(zero_copy_only=False)))
+                        hit = np.flatnonzero(np.isin(rolling(flat[end_ - n : end_], width).view(np.int64), hs.values.to_numpy(zero_copy_only=False)))
                         if len(hit):
                             cut = np.flatnonzero(np.diff(hit) > width)
                             spans = np.stack([hit[np.r_[0, cut + 1]], hit[np.r_[cut, len(hit) - 1]] + width], axis=1).tolist()

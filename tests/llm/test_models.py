@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 
 from blockloom.llm import langid, quality
-from blockloom.llm.common import WordHash
 
 
 def fold(i, n):
@@ -90,12 +89,12 @@ def test_trees_go_down_as_one_by_one():
 
 
 def test_statistics_of_odd_texts():
-    x = quality.statistics([None, b"", b"a", b"a a a", b"x\n" * 50_000, "é!".encode(), b"\xff"], WordHash())
+    x = quality.statistics([None, b"", b"a", b"a a a", b"x\n" * 50_000, "é!".encode(), b"\xff"])
     assert x.shape == (7, len(quality.FEATURES)) and np.isfinite(x).all() and (x[0] == x[1]).all()
     at = quality.FEATURES.index
     assert x[3, at("distinct_words")] == pytest.approx(1 / 3) and x[3, at("doubled_words")] == 1 and x[3, at("top_word")] == 1
     assert x[4, at("distinct_lines")] == pytest.approx(1 / 50_000)
-    assert quality.statistics([], WordHash()).shape[0] == 0
+    assert quality.statistics([]).shape[0] == 0
 
 
 def test_held_out_quality(spark):
