@@ -33,8 +33,8 @@ from .components import components
 WORDS, PERCENT = 5, 80
 #: Ratio of a band's sizes, and how much a signature of at most one shingle costs beside the one that it is.
 BAND, WEAK = 1.6, 2.0
-#: Bits of a parity sketch.
-SKETCH = 1024
+#: The least bits of a parity sketch.
+SKETCH = 512
 #: The most rows of cells, and of ids, that are broadcast (32 MB); more are joined.
 BROADCAST_CELLS, BROADCAST_IDS = 500_000, 2_000_000
 #: Texts that meet one text in a cell.
@@ -124,11 +124,34 @@ def fingerprints(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return mixed(np.add.reduceat(mixed(h), first) + sizes[sizes > 0].astype(np.uint64)) if len(first) else np.empty(0, np.uint64)
 
 
-def sketches(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """(sets, SKETCH / 8) bytes: a bit is set if an odd number of shingles fall on it."""
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    bit = (h >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
-    return np.packbits(np.bincount(row * SKETCH + bit, minlength=len(sizes) * SKETCH).reshape(-1, SKETCH) & 1, axis=1)
+def sketches(h: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
+    """For each set, bits of which each is set if an odd number of shingles fall on it: two to four a shingle, a power of two in all."""
+    out: list[bytes | None] = []
+    ends = np.cumsum(sizes)
+    for n, end in zip(sizes.tolist(), ends.tolist(), strict=True):
+        width = max(SKETCH, 1 << (2 * n - 1).bit_length()) if n else 0
+        odd = np.bincount((h[end - n : end] & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1 if n else None
+        out.append(np.packbits(odd.astype(bool), bitorder="little").tobytes() if n else None)
+    return out
+
+
+def differences(first: list[bytes], second: list[bytes]) -> np.ndarray:
+    """How many bits the sketches of each pair differ in: never more than the shingles that the sets do.
+
+    The wider sketch of two is folded onto the width of the other.
+    """
+    out = np.zeros(len(first), np.int64)
+    widths = np.array([min(len(a), len(b)) for a, b in zip(first, second, strict=True)], np.int64)
+    for width in np.unique(widths).tolist():
+        rows = np.flatnonzero(widths == width)
+        a, b = (folded([side[i] for i in rows.tolist()], width) for side in (first, second))
+        out[rows] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def folded(sketch: list[bytes], width: int) -> np.ndarray:
+    """(sketches, width / 8) words of 64 bits."""
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width // 8), axis=0) for x in sketch])
 
 
 def signatures(h: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -177,8 +200,7 @@ def keys_of(d: DataFrame, words: int) -> DataFrame:
                 h, sizes = shingle_sets(part.column(1).to_pylist(), words)
                 k = np.zeros(len(sizes), np.uint64)
                 k[sizes > 0] = fingerprints(h, sizes)
-                sketch = [x.tobytes() if n else None for x, n in zip(sketches(h, sizes), sizes, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes.astype(np.int64)), pa.array(k.view(np.int64), mask=sizes == 0), pa.array(sketch, pa.binary())], names=["i", "n", "k", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes.astype(np.int64)), pa.array(k.view(np.int64), mask=sizes == 0), pa.array(sketches(h, sizes), pa.binary())], names=["i", "n", "k", "sketch"])
 
     return d.mapInArrow(run, "i long, n long, k long, sketch binary")
 
@@ -247,10 +269,6 @@ def may_link(n1: np.ndarray, n2: np.ndarray, different: np.ndarray, percent: int
     return (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & ((100 + percent) * different <= (100 - percent) * (n1 + n2))
 
 
-def bytes_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
-
-
 def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that sizes and sketches don't rule out."""
     c = classes.select("k", "n", "sketch")
@@ -260,7 +278,7 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                different = np.bitwise_count(bytes_of(batch.column(4)) ^ bytes_of(batch.column(5))).sum(axis=1, dtype=np.int64)
+                different = differences(batch.column(4).to_pylist(), batch.column(5).to_pylist())
                 ok = may_link(batch.column(2).to_numpy(), batch.column(3).to_numpy(), different, percent)
                 yield batch.select(["a", "b"]).filter(pa.array(ok))
 
@@ -309,9 +327,11 @@ def verified(pairs: DataFrame, classes: DataFrame, d: DataFrame, words: int, per
     return rows.mapInArrow(compare, "a long, b long").distinct()
 
 
-def across(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(s, k, p, root) -> (a, b, x, y, different): pairs of a bucket in different components x < y that may link, without those of
-    the bucket's least; `different` is what their sketches differ by."""
+def across(members: DataFrame, classes: DataFrame, percent: int, best: bool) -> DataFrame:
+    """(s, k, p, root) -> (a, b): pairs of a bucket in different components that may link, without those of the bucket's least.
+
+    With `best` only the pair of each two components whose sketches differ least, over all buckets.
+    """
     sizes = members.groupBy("s").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     sizes = written(sizes.select(F.col("s").alias("s2"), F.ceil(F.col("m") / PART).cast("int").alias("parts")))
     m = members.where("k <> p").join(sizes, F.col("s") == F.col("s2")).join(classes.select(F.col("k").alias("k2"), "n", "sketch"), F.col("k") == F.col("k2"))
@@ -321,9 +341,11 @@ def across(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
         part, k, root, n = (table[c].to_numpy() for c in ("part", "k", "root", "n"))
-        bits = bytes_of(table["sketch"])
+        sketch = table["sketch"].to_pylist()
+        bits = folded(sketch, min(map(len, sketch)))
         x, y = table["x"][0].as_py(), table["y"][0].as_py()
         left, right = np.flatnonzero(part == x), np.flatnonzero(part == y)
+        held: list[np.ndarray] = []
         for i in range(0, len(left), 64):
             rows = left[i : i + 64]
             cross = root[rows][:, None] != root[right][None, :]
@@ -331,14 +353,19 @@ def across(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 cross &= k[rows][:, None] < k[right][None, :]
             u, v = np.nonzero(cross)
             u, v = rows[u], right[v]
-            for j in range(0, len(u), 65536):
-                a, b = u[j : j + 65536], v[j : j + 65536]
+            for j in range(0, len(u), 16384):
+                a, b = u[j : j + 16384], v[j : j + 16384]
                 different = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
                 ok = may_link(n[a], n[b], different, percent)
                 if ok.any():
                     a, b, different = a[ok], b[ok], different[ok]
-                    out = [np.minimum(k[a], k[b]), np.maximum(k[a], k[b]), np.minimum(root[a], root[b]), np.maximum(root[a], root[b]), different]
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in out], names=["a", "b", "x", "y", "different"])
+                    held.append(np.stack([np.minimum(root[a], root[b]), np.maximum(root[a], root[b]), different, np.minimum(k[a], k[b]), np.maximum(k[a], k[b])]))
+        if held:
+            found = np.concatenate(held, axis=1)
+            if best:
+                found = found[:, np.lexsort(found[::-1])]
+                found = found[:, np.r_[True, (found[:2, 1:] != found[:2, :-1]).any(axis=0)]]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in found], names=["x", "y", "different", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -355,7 +382,10 @@ def across(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield from pairs(rest)
 
-    return m.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "a long, b long, x long, y long, different long").distinct()
+    found = m.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "x long, y long, different long, a long, b long")
+    if best:
+        return found.groupBy("x", "y").agg(F.min(F.struct("different", "a", "b")).alias("m")).select("m.a", "m.b")
+    return found.select("a", "b").distinct()
 
 
 def grouped(found: DataFrame, roots: DataFrame) -> DataFrame:
@@ -382,16 +412,10 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     stars = found.where("k <> p").select(F.col("p").alias("a"), F.col("k").alias("b")).distinct()
     near = written(verified(written(plausible(stars, classes, percent)), classes, with_id, words, percent))
     # The likeliest pair of each two components comes first: where it links, the others needn't be looked at.
-    pairs = written(across(grouped(found, components(near)), classes, percent))
-    best = pairs.groupBy("x", "y").agg(F.min(F.struct("different", "a", "b")).alias("m")).select("m.a", "m.b")
-    best = written(best)
+    best = written(across(grouped(found, components(near)), classes, percent, True))
     near = written(near.unionByName(verified(best, classes, with_id, words, percent)))
-    roots = written(components(near))
-    ends = roots.select(F.col("node").alias("k2"), "root")
-    rest = pairs.select("a", "b").join(best.withColumnsRenamed({"a": "a2", "b": "b2"}), (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")), "left_anti")
-    for side in ("a", "b"):
-        rest = rest.join(ends.withColumnsRenamed({"k2": f"k{side}", "root": f"r{side}"}), F.col(side) == F.col(f"k{side}"), "left")
-    rest = rest.where(~F.coalesce("ra", "a").eqNullSafe(F.coalesce("rb", "b"))).select("a", "b")
+    rest = across(grouped(found, components(near)), classes, percent, False)
+    rest = rest.join(best.withColumnsRenamed({"a": "a2", "b": "b2"}), (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")), "left_anti")
     more = verified(written(rest), classes, with_id, words, percent)
     roots = written(components(near.unionByName(more)))
     named = classes.join(roots, F.col("k") == F.col("node"), "left").select("k", "first", F.coalesce("root", "k").alias("root"))
