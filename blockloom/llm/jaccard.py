@@ -39,6 +39,8 @@ SKETCH = 512
 BROADCAST_CELLS, BROADCAST_IDS = 500_000, 2_000_000
 #: Texts that meet one text in a cell.
 CELL = 256
+#: Buckets of a set that tell whether another bucket gives a pair already.
+FIRST = 8
 #: Sets in a part of a bucket; larger buckets are cut, and every pair of parts is one bounded group.
 PART = 1024
 
@@ -331,12 +333,17 @@ def across(members: DataFrame, classes: DataFrame, percent: int, best: bool) ->
     """(s, k, p, root) -> (a, b): pairs of a bucket in different components that may link, without those of the bucket's least.
 
     With `best` only the pair of each two components whose sketches differ least, over all buckets.
+    Else a pair comes from one of the buckets that it shares, as far as each set's first FIRST buckets tell: it is left
+    to an earlier bucket that holds both.
     """
     sizes = members.groupBy("s").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     sizes = written(sizes.select(F.col("s").alias("s2"), F.ceil(F.col("m") / PART).cast("int").alias("parts")))
-    m = members.where("k <> p").join(sizes, F.col("s") == F.col("s2")).join(classes.select(F.col("k").alias("k2"), "n", "sketch"), F.col("k") == F.col("k2"))
+    mixed_ones = members.join(sizes, F.col("s") == F.col("s2"))
+    early = mixed_ones.groupBy(F.col("k").alias("k3")).agg(F.slice(F.array_sort(F.collect_set("s")), 1, FIRST).alias("early"))
+    known = classes.select(F.col("k").alias("k2"), "n", "sketch").join(early, F.col("k2") == F.col("k3")).drop("k3")
+    m = mixed_ones.where("k <> p").join(known, F.col("k") == F.col("k2"))
     m = m.withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    m = m.select("s", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "k", "root", "n", "sketch")
+    m = m.select("s", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "k", "root", "n", "sketch", "early")
     names = ["s", "x", "y"]
 
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -345,6 +352,10 @@ def across(members: DataFrame, classes: DataFrame, percent: int, best: bool) ->
         bits = folded(sketch, min(map(len, sketch)))
         x, y = table["x"][0].as_py(), table["y"][0].as_py()
         left, right = np.flatnonzero(part == x), np.flatnonzero(part == y)
+        s = table["s"][0].as_py()
+        early = np.full((len(k), FIRST), s)
+        for r, own in enumerate(table["early"].to_pylist()):
+            early[r, : len(own)] = own
         held: list[np.ndarray] = []
         for i in range(0, len(left), 64):
             rows = left[i : i + 64]
@@ -356,8 +367,11 @@ def across(members: DataFrame, classes: DataFrame, percent: int, best: bool) ->
             for j in range(0, len(u), 16384):
                 a, b = u[j : j + 16384], v[j : j + 16384]
                 different = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
-                ok = may_link(n[a], n[b], different, percent)
-                if ok.any():
+                ok = np.flatnonzero(may_link(n[a], n[b], different, percent))
+                if not best:
+                    first, second = early[a[ok]], early[b[ok]]
+                    ok = ok[~((first[:, :, None] == second[:, None, :]) & (first < s)[:, :, None]).any(axis=(1, 2))]
+                if len(ok):
                     a, b, different = a[ok], b[ok], different[ok]
                     held.append(np.stack([np.minimum(root[a], root[b]), np.maximum(root[a], root[b]), different, np.minimum(k[a], k[b]), np.maximum(k[a], k[b])]))
         if held:
