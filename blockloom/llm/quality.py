@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,23 +124,30 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bi
     return Trees(base, features, thresholds, values)
 
 
-def scored(d: DataFrame, model: Trees | None) -> DataFrame:
-    """(i, t binary, y) -> (i, score) with a model, else (i, y, x: the statistics)."""
+def scored(d: DataFrame, model: Trees | None, inside: str = "") -> DataFrame:
+    """(i, t binary, …) -> (score, …) with a model; else (i, t, y) -> (i, y, x: the statistics).
+
+    With `inside`, t is a struct that stays, and the text its field of that name.
+    """
     sent = d.sparkSession.sparkContext.broadcast(model) if model else None
 
+    names, first = d.columns, 1 if inside else 2
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, end in slices(batch, 1):
+            if inside:
+                batch = batch.append_column("text", pc.struct_field(batch.column(1), [inside]).cast(pa.string()).cast(pa.binary()))
+            for start, end in slices(batch, len(names) if inside else 1):
                 part = batch.slice(start, end - start)
-                x = statistics(part.column(1).to_pylist())
+                x = statistics(part.column(len(names) if inside else 1).to_pylist())
                 if sent:
-                    yield pa.RecordBatch.from_arrays([pa.array(sent.value.score(x)), *part.columns[2:]], names=["score", *batch.schema.names[2:]])
+                    yield pa.RecordBatch.from_arrays([pa.array(sent.value.score(x)), *part.columns[first : len(names)]], names=["score", *names[first:]])
                 else:
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.FixedSizeListArray.from_arrays(x.ravel(), x.shape[1]).cast(pa.list_(pa.float32()))], names=["i", "y", "x"])
 
     if not sent:
         return d.mapInArrow(run, "i long, y int, x array<float>")
-    return d.mapInArrow(run, ", ".join(["score double", *(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[2:])]))
+    return d.mapInArrow(run, ", ".join(["score double", *(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[first:])]))
 
 
 def held_out(c: str, folds: int, fold: int):
@@ -170,9 +178,9 @@ def classify_quality(docs: DataFrame, model: Trees, *, id_col: str = "doc_id", t
     Null and empty texts are scored as texts without words; null ids are not held out; rows may
     repeat; other columns are not looked at. One pass without a shuffle.
     """
-    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if keep_row else []
-    d = docs.select(F.col(id_col).cast("long").alias("i"), as_bytes(text_col).alias("t"), F.col(id_col).cast("long").alias("id"), held_out(id_col, folds, fold).alias("held_out"), *row)
-    d = scored(d, model)
+    text = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row") if keep_row else as_bytes(text_col).alias("t")
+    d = docs.select(F.lit(0).alias("i"), text, F.col(id_col).cast("long").alias("id"), held_out(id_col, folds, fold).alias("held_out"))
+    d = scored(d, model, text_col if keep_row else "")
     return d.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *["row"] * keep_row)
 
 

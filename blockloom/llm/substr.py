@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -209,17 +210,20 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if keep_row else []
     d = docs.select(F.col(id_col).cast("long").alias("i"), as_bytes(text_col).alias("t"), *row)
     gone = losses(d.select("i", "t"), width, gram).groupBy("i").agg(F.collect_set("h").alias("hs")).withColumnRenamed("i", "j")
-    both = d.join(gone, F.col("i") == F.col("j"), "left").select("i", "t", "hs", *["row"] * keep_row)
+    # A row that is kept brings its text along.
+    both = d.join(gone, F.col("i") == F.col("j"), "left").select("i", "hs", "row" if keep_row else "t")
     columns = [("i", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("spans", pa.list_(pa.list_(pa.int32())))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, end in slices(batch, 1):
+            if keep_row:
+                batch = batch.append_column("t", pc.struct_field(batch.column(2), [text_col]).cast(pa.string()).cast(pa.binary()))
+            for start, end in slices(batch, 2 + keep_row):
                 part, rows = batch.slice(start, end - start), []
-                texts = part.column(1).to_pylist()
+                texts = part.column(2 + keep_row).to_pylist()
                 flat, counts = hashed(texts)
                 ends = np.cumsum(counts)
-                for text, hs, n, end_ in zip(texts, part.column(2), counts, ends, strict=True):
+                for text, hs, n, end_ in zip(texts, part.column(1), counts, ends, strict=True):
                     words, spans = split_words(text), []
                     if hs.is_valid:
                         hit = np.flatnonzero(np.isin(rolling(flat[end_ - n : end_], width).view(np.int64), hs.values.to_numpy(zero_copy_only=False)))
@@ -234,7 +238,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     joined = b" ".join(kept)
                     rows.append((len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "replace"), spans))
                 made = [part.column(0), *(pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(columns[1:]))]
-                yield pa.RecordBatch.from_arrays(made + part.columns[3:], names=[n for n, _ in columns] + ["row"] * keep_row)
+                yield pa.RecordBatch.from_arrays(made + [part.column(2)] * keep_row, names=[n for n, _ in columns] + ["row"] * keep_row)
 
     schema = "i long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<array<int>>"
     if keep_row:
