@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the cluster may be gone by now
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The same rows, read from Parquet: computed once, whatever reads them, and safe from lost executors."""
+    """The same rows, read from Parquet: computed once, whatever reads them, and safe from lost executors. The table goes when the program ends."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/blockloom-tables"
     path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(removed, spark, path)
     return spark.read.schema(df.schema).parquet(path)
