@@ -6,6 +6,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -115,13 +116,11 @@ def huffman_codes(hist: DataFrame) -> DataFrame:
     """(…, symbol, freq, len, bits), a group of at most 256 rows a plane."""
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.filter(pa.compute.greater(table["freq"], 0))
+        table = table.filter(pc.greater(table["freq"], 0))
         codes = code_table(table["symbol"].to_pylist(), table["freq"].to_pylist())
         got = [codes[s] for s in table["symbol"].to_pylist()]
         return pa.table({**{c: table[c] for c in (*PLANE, "symbol", "freq")}, "len": pa.array([g[0] for g in got], pa.int32()), "bits": pa.array([g[1] for g in got], pa.int64())})
 
-    import pyarrow.compute  # noqa: F401
-
     return hist.select(*PLANE, F.col("symbol").cast("int").alias("symbol"), F.col("freq").cast("long").alias("freq")).groupBy(*PLANE).applyInArrow(build, "image_id string, channel string, symbol int, freq long, len int, bits long")
 
 

@@ -86,7 +86,7 @@ def test_nearest_takes_the_lowest_code_of_a_tie(spark):
     assert {r.code: r.w for r in new.collect()} == {0: [9.0, 9.0], 2: [1.0, 0.0], 5: [2.0, 0.0]}
 
 
-def reference_training(x, config):
+def plain_training(x, config):
     """Plain loops: the meaning of the training, step by step."""
     x = x.astype(np.float64)
     w = x.mean(axis=0)[None, :]
@@ -110,7 +110,7 @@ def test_training_forms_agree(spark):
     config = VQConfig(width=32, height=32, codes=8, precision="float64")
     v = blocks.to_vectors(frame(spark, image), 32)
     x = np.array([r.v for r in v.orderBy("vec_idx").collect()])
-    labels, w = reference_training(x, config)
+    labels, w = plain_training(x, config)
     for fit in (train.fit_grouped, train.fit_distributed):
         t = fit(v, config)
         assert [r.label for r in t.labels.orderBy("vec_idx").collect()] == labels.tolist()
