@@ -136,8 +136,8 @@ class BiGru:
                 p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         return losses
 
-    def window_sums(self, x: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """(languages, batch): the sums over each window's bytes of their probabilities.
+    def labelled(self, x: np.ndarray, length: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(t, probabilities) of the bytes at place t of each window, from the last place to the first; (languages, batch), 0 on padding.
 
         x: (time, batch), where columns of less than `time` bytes end in padding; the backward
         network starts at a column's last byte, as its states on padding are put back to zero.
@@ -148,7 +148,6 @@ class BiGru:
         for t, h in self.ahead.forward(x, range(time)):
             np.matmul(self.w[:, :k], h, out=z[t])
         z += self.b
-        sums = np.zeros((len(self.languages), batch), np.float32)
         for t, h in self.back.forward(x, range(time - 1, -1, -1)):
             if short:
                 h *= (t < length).astype(np.float32)
@@ -160,6 +159,25 @@ class BiGru:
             if short:
                 scale *= t < length
             p *= scale
+            yield t, p
+
+    def positions(self, text: bytes) -> np.ndarray:
+        """(bytes, languages): the probabilities of every byte of one text."""
+        flat = FOLD[np.frombuffer(text, np.uint8)]
+        windows = -(-len(text) // READ_WINDOW)
+        x = np.full(windows * READ_WINDOW, 32)
+        x[: len(text)] = flat
+        length = np.minimum(len(text) - np.arange(windows) * READ_WINDOW, READ_WINDOW)
+        out = np.zeros((windows, READ_WINDOW, len(self.languages)), np.float32)
+        if windows:
+            for t, p in self.labelled(np.ascontiguousarray(x.reshape(windows, READ_WINDOW).T), length):
+                out[:, t] = p.T
+        return out.reshape(-1, len(self.languages))[: len(text)]
+
+    def window_sums(self, x: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """(languages, batch): the sums over each window's bytes of their probabilities."""
+        sums = np.zeros((len(self.languages), x.shape[1]), np.float32)
+        for _, p in self.labelled(x, length):
             sums += p
         return sums
 

@@ -40,6 +40,10 @@ def test_probabilities_do_not_depend_on_the_batch():
     together = model.probabilities([*texts, b""])
     for k, t in enumerate(texts):
         assert together[k] == pytest.approx(model.probabilities([t])[0], abs=1e-5)
+        each = model.positions(t)
+        assert each.shape == (len(t), 2) and each.sum(axis=1) == pytest.approx(1, abs=1e-5)
+        assert each.mean(axis=0) == pytest.approx(together[k], abs=1e-5)
+    assert model.positions(b"").shape == (0, 2)
     assert together.sum(axis=1) == pytest.approx(1, abs=1e-4)
     assert together[-1].tolist() == [0.5, 0.5]
 
