@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import sys
 import tempfile
 import uuid
@@ -121,11 +123,19 @@ def rolling(words: np.ndarray, width: int, base: int = BASE) -> np.ndarray:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share; only where none is set, as in tests, a local one."""
+    """A new path in the folder that all executors share; only where none is set, as in tests, a local one. It goes when the program ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = f"file://{tempfile.gettempdir()}/blockloom-scratch"
-    return f"{root.rstrip('/')}/blockloom-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/blockloom-{uuid.uuid4().hex}"
+    atexit.register(removed, spark, path)
+    return path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the cluster may be gone by now
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame) -> DataFrame:
