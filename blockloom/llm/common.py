@@ -44,6 +44,7 @@ def slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int]]:
         held += int(n)
     if start < batch.num_rows:
         yield start, batch.num_rows
+    pa.default_memory_pool().release_unused()  # what the batch took, before the next one comes
 
 
 def remembered(key: tuple, make: Callable[[], T]) -> T:
