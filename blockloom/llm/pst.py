@@ -269,6 +269,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rest = words.where(F.col("c") < least)
     looked = rare.join(rest, F.col("w") == F.col("k"), "left").select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.coalesce("c", F.lit(0)).alias("c"))
     looked = looked.groupBy("a2", "b2").agg(F.sum(F.log10((F.col("c") + 0.1) / below)).alias("more"), F.sum((F.col("c") > 0).cast("long")).alias("seen"))
+    looked = written(looked)  # so that both sides of the join are dealt anew, and a text with very many copies can be split
     out = made.join(looked, (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")), "left")
     return out.select(F.col("i").alias(id_col), "held_out", "n_tokens", (F.col("sure") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
 
