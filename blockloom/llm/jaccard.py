@@ -338,10 +338,10 @@ def across(members: DataFrame, classes: DataFrame, percent: int, best: bool) ->
     """
     sizes = members.groupBy("s").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     sizes = written(sizes.select(F.col("s").alias("s2"), F.ceil(F.col("m") / PART).cast("int").alias("parts")))
-    mixed_ones = members.join(sizes, F.col("s") == F.col("s2"))
-    early = mixed_ones.groupBy(F.col("k").alias("k3")).agg(F.slice(F.array_sort(F.collect_set("s")), 1, FIRST).alias("early"))
+    open_ones = members.join(sizes, F.col("s") == F.col("s2"))
+    early = open_ones.groupBy(F.col("k").alias("k3")).agg(F.slice(F.array_sort(F.collect_set("s")), 1, FIRST).alias("early"))
     known = classes.select(F.col("k").alias("k2"), "n", "sketch").join(early, F.col("k2") == F.col("k3")).drop("k3")
-    m = mixed_ones.where("k <> p").join(known, F.col("k") == F.col("k2"))
+    m = open_ones.where("k <> p").join(known, F.col("k") == F.col("k2"))
     m = m.withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     m = m.select("s", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "k", "root", "n", "sketch", "early")
     names = ["s", "x", "y"]
@@ -451,7 +451,7 @@ n AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS h FROM s),
 f AS (SELECT n.*, row_number() OVER (PARTITION BY doc_id ORDER BY cnt, h) AS r FROM n JOIN (SELECT h, count(*) AS cnt FROM n GROUP BY h) USING (h)),
 x AS (SELECT * FROM f WHERE r <= n - ceil(0.8 * n) + 1),
 c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
-p AS (SELECT a, b, (SELECT 1) FROM c JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b
+p AS (SELECT a, b FROM c JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b
       WHERE 100 * len(list_intersect(sa.sh, sb.sh)) >= 80 * (len(sa.sh) + len(sb.sh) - len(list_intersect(sa.sh, sb.sh)))),
 e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
 t AS (SELECT doc_id AS v, doc_id AS c FROM documents UNION SELECT e.b, t.c FROM t JOIN e ON e.a = t.v WHERE t.c < e.b)
