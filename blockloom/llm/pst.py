@@ -1,11 +1,11 @@
 """LM scoring: a probabilistic suffix tree over the bytes of a text's words.
 
 A text is the sequence of its words, each ended by a space, and one end symbol. The tree holds contexts
-of up to DEPTH bytes that occur often enough (a share LEAST_SHARE of all positions, which bounds
-their number by DEPTH / LEAST_SHARE) and whose next-symbol distribution diverges from that of the
-longest kept suffix; their suffixes are kept, too. Distributions are smoothed towards those of the
-suffix. For scoring, the tree becomes an automaton whose state is the longest suffix, and
-windows of many texts take their steps together.
+of up to DEPTH bytes that occur LEAST times or more (on small corpora, in a share LEAST_SHARE of all positions) and whose next-symbol distribution diverges from that of
+their longest suffix; their suffixes are kept, too. Distributions are smoothed towards those of the
+suffix. The tree grows with the corpus, so Spark makes it, a level after the other. Its most frequent contexts, a bounded
+number of rows, go to every task, which looks each different run of symbols up once a slice. Longer contexts than
+those are told by a bitmap of fixed size and joined: what each adds to the logarithm is a sum over contexts.
 
 Word counts for the base score come from all training texts: frequent words, a bounded number, go to
 every task; the rest is joined.
@@ -14,6 +14,7 @@ every task; the rest is joined.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +22,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, documents, hashed, slices, split_words, written
+from .common import as_bytes, documents, hashed, mixed, slices, split_words, written
 from .quality import held_out
 
-DEPTH, LEAST_SHARE, DIVERGENCE, SMOOTH = 6, 1e-5, 0.002, 30.0
+DEPTH, LEAST, LEAST_SHARE, DIVERGENCE, SMOOTH = 6, 30, 1e-5, 0.002, 30.0
 SPACE, END = 0x20, 0x0A
 #: The most words whose counts go to every task (16 MB).
 HEAD = 1_000_000
-#: Positions or words that a task holds before it sums them up, bytes of a window, windows at a time.
-HELD, WINDOW, BATCH = 1_500_000, 512, 4096
+#: The most (context, symbol) rows of the tree that go to every task (50 MB), and the bits that tell of other contexts (16 MB).
+TREE_HEAD, BITS = 3_000_000, 27
+#: Positions or words that a task holds before it sums them up.
+HELD = 1_500_000
 
 
 class Sums:
@@ -76,8 +79,29 @@ def spelled(words: list[bytes], depth: int) -> bytes:
     return b"\n" * depth + (b" ".join(words) + b" " if words else b"") + b"\n"
 
 
+def mask(d: int, depth: int) -> int:
+    """The bits of a context's d newest symbols; a context has nine bits a symbol, the newest highest: 0 for none, the byte + 1."""
+    return ((1 << 9 * d) - 1) << 9 * (depth - d)
+
+
+def runs_of(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(context << 8 | symbol of each position of all texts, end to end; number of positions of each text)."""
+    parts = [np.frombuffer(spelled(ws, depth), np.uint8) for ws in texts]
+    flat = np.concatenate(parts).astype(np.int64)
+    key = flat[depth:].copy()
+    flat += 1
+    for j in range(1, depth + 1):
+        key |= flat[depth - j : len(flat) - j] << (9 * (depth - j) + 8)
+    # Runs that end inside the padding of a text are not its own.
+    n = np.fromiter(map(len, parts), np.int64, len(parts))
+    first = (np.cumsum(n) - n)[1:]
+    own = np.ones(len(key), bool)
+    own[(first[:, None] + np.arange(depth)).ravel() - depth] = False
+    return key[own], n - depth
+
+
 def counted(d: DataFrame, what: str, depth: int = DEPTH) -> DataFrame:
-    """(t binary) -> (k, c): counts of words' hashes, or of runs of depth + 1 symbols (the newest in the lowest byte)."""
+    """(t binary) -> (k, c): counts of words' hashes, or of contexts of `depth` symbols and the next symbol."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Sums()
@@ -87,17 +111,7 @@ def counted(d: DataFrame, what: str, depth: int = DEPTH) -> DataFrame:
                 if what == "words":
                     sums.add(hashed(texts, lower=True)[0])
                 else:
-                    parts = [np.frombuffer(spelled(split_words(t, lower=True), depth), np.uint8) for t in texts]
-                    flat = np.concatenate(parts).astype(np.uint64)
-                    key = np.zeros(len(flat) - depth, np.uint64)
-                    for j in range(depth + 1):
-                        key |= flat[depth - j : len(flat) - j] << np.uint64(8 * j)
-                    # Runs that end inside the padding of a text are not its own.
-                    n = np.fromiter(map(len, parts), np.int64, len(parts))
-                    first = (np.cumsum(n) - n)[1:]
-                    own = np.ones(len(key), bool)
-                    own[(first[:, None] + np.arange(depth)).ravel() - depth] = False
-                    sums.add(key[own])
+                    sums.add(runs_of([split_words(t, lower=True) for t in texts], depth)[0].view(np.uint64))
                 if sums.full():
                     yield from sums.take(["k", "c"])
         yield from sums.take(["k", "c"])
@@ -105,114 +119,180 @@ def counted(d: DataFrame, what: str, depth: int = DEPTH) -> DataFrame:
     return d.mapInArrow(run, "k long, c long").repartition("k").groupBy("k").agg(F.sum("c").alias("c"))
 
 
+class Suffixes:
+    """Sorted contexts, closed under suffixes, from the empty one on: the longest that ends another context."""
+
+    def __init__(self, contexts: np.ndarray, depth: int):
+        self.contexts, self.depth = contexts, depth
+        self.length = sum((contexts & mask(d, depth) != contexts for d in range(depth)), np.zeros(len(contexts), np.int8))
+        self.above = np.zeros(len(contexts), np.int32)  # the suffix that is shorter by one
+        for d in range(1, depth + 1):
+            of = self.length == d
+            self.above[of] = np.searchsorted(contexts, contexts[of] & mask(d - 1, depth))
+
+    def longest(self, contexts: np.ndarray) -> np.ndarray:
+        """The one before a context in the order shares its longest suffix with it."""
+        at = np.searchsorted(self.contexts, contexts, side="right") - 1
+        unlike = contexts ^ self.contexts[at]
+        same = np.zeros(len(at), np.intp)
+        for d in range(self.depth):
+            same += unlike < 1 << 9 * d
+        live = np.flatnonzero(self.length[at] > same)
+        while len(live):
+            at[live] = self.above[at[live]]
+            live = live[self.length[at[live]] > same[live]]
+        return at
+
+
 class SuffixAutomaton:
-    """step[state, symbol] and log10 probability[state, symbol] of a suffix tree; symbol 0 stands for all bytes never seen."""
+    """A suffix tree in memory: contexts, what they add for symbols not seen after them, and log10 probabilities of the seen."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int, divergence: float = DIVERGENCE, smooth: float = SMOOTH):
-        """levels[d]: (contexts of d symbols, next symbols, counts), sorted, for the contexts that are frequent enough."""
+    def __init__(self, root: np.ndarray, contexts: np.ndarray, symbols: np.ndarray, sizes: np.ndarray, logs: np.ndarray, depth: int, smooth: float = SMOOTH):
+        """root: counts of the 256 symbols; then a row for each context but the empty one and each symbol seen after it."""
         self.depth = depth
-        alphabet = sorted({int(x) for x in levels[0][1]} | {SPACE, END})
-        symbol = np.zeros(256, np.intp)
-        symbol[alphabet] = np.arange(1, len(alphabet) + 1)
-        width = len(alphabet) + 1
-        root = np.full(width, 0.1)
-        root[symbol[levels[0][1].astype(np.intp)]] += levels[0][2]
-        root /= root[1:].sum() + 0.1 * (256 - len(alphabet))
-        spread = {(0, 0): root}
-        kept = {(0, 0)}
-        short = lambda d, k: (d - 1, k & ((1 << (8 * (d - 1))) - 1))
-        for d in range(1, depth + 1):
-            contexts, nexts, counts = levels[d]
-            first = np.flatnonzero(np.r_[True, contexts[1:] != contexts[:-1]]) if len(contexts) else np.empty(0, np.int64)
-            for a, b in zip(first, [*first[1:], len(contexts)], strict=False):
-                at, x, c = (d, int(contexts[a])), symbol[nexts[a:b].astype(np.intp)], counts[a:b]
-                shorter = spread[short(*at)]
-                p = c / c.sum()
-                if (p * np.log(p / shorter[x])).sum() >= divergence:
-                    kept.add(at)
-                own = smooth * shorter
-                own[x] += c
-                spread[at] = own / (c.sum() + smooth)
-        for at in sorted(kept, reverse=True):  # suffixes of what is kept
-            while at[0]:
-                at = short(*at)
-                kept.add(at)
-        states = set(kept)
-        for d, k in kept:  # beginnings, so that a state and a symbol determine the next state
-            while d:
-                d, k = d - 1, k >> 8
-                states.add((d, k))
-        order = sorted(states)
-        number = {s: i for i, s in enumerate(order)}
-        self.symbol = symbol
-        self.step = np.zeros((len(order), width), np.int32)
-        self.log = np.zeros((len(order), width), np.float32)
-        self.kept = len(kept)
-        for i, (d, k) in enumerate(order):
-            shorter = number[short(d, k)] if d else 0
-            self.log[i] = np.log10(spread[d, k]) if (d, k) in kept else self.log[shorter]
-            if d:
-                self.step[i] = self.step[shorter]
-            if d < depth:
-                for x in alphabet:
-                    if (j := number.get((d + 1, k << 8 | x))) is not None:
-                        self.step[i, symbol[x]] = j
-        self.start = 0
-        for _ in range(depth):
-            self.start = int(self.step[self.start, symbol[END]])
+        self.root = np.log10((root + 0.1) / (root.sum() + 25.6))
+        self.suffixes = Suffixes(np.unique(np.r_[0, contexts]), depth)
+        at = np.searchsorted(self.suffixes.contexts, contexts)
+        back = np.zeros(len(self.suffixes.contexts))
+        back[at] = np.log10(smooth / (sizes + smooth))
+        self.back = back.astype(np.float32)
+        pairs = (at << 8 | symbols).astype(np.uint32)  # far fewer than 2**24 contexts
+        order = np.argsort(pairs)
+        self.pairs, self.logs = pairs[order], logs[order].astype(np.float32)
+        self.alphabet = sorted({int(x) for x in np.flatnonzero(root)} | {SPACE, END})
+        self.symbol = np.zeros(256, np.intp)
+        self.symbol[self.alphabet] = np.arange(1, len(self.alphabet) + 1)
+
+    def look(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 of the probability of each run's symbol after its context, length of the longest suffix held)."""
+        state, x = self.suffixes.longest(runs >> 8), runs & 255
+        length, out = self.suffixes.length[state], np.zeros(len(runs))
+        live = np.arange(len(runs))
+        for _ in range(self.depth):
+            live = live[state[live] > 0]
+            key = (state[live] << 8 | x[live]).astype(np.uint32)
+            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            seen = self.pairs[at] == key if len(live) else np.zeros(0, bool)
+            out[live[seen]] += self.logs[at[seen]]
+            state[live[seen]] = -1
+            live = live[~seen]
+            out[live] += self.back[state[live]]
+            state[live] = self.suffixes.above[state[live]]
+        out[state == 0] += self.root[x[state == 0]]
+        return out, length
 
     def scores(self, texts: list[list[bytes]]) -> np.ndarray:
         """log10 of the probability of each text: its words and its end."""
-        parts = [np.frombuffer(spelled(ws, self.depth), np.uint8) for ws in texts]
-        flat = self.symbol[np.concatenate(parts)]
-        n = np.fromiter(map(len, parts), np.int64)
-        start = np.cumsum(n) - n + self.depth  # the first symbol of its own
-        own = n - self.depth
-        windows = -(-own // WINDOW)
-        row = np.repeat(np.arange(len(texts)), windows)
-        at = (np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)) * WINDOW
-        length = np.minimum(own[row] - at, WINDOW)
-        order = np.argsort(-length, kind="stable")
-        out = np.zeros(len(texts))
-        step, log, width = self.step.ravel(), self.log.ravel(), self.step.shape[1]
-        for i in range(0, len(order), BATCH):
-            w = order[i : i + BATCH]
-            place, size = start[row[w]] + at[w] - self.depth, length[w]
-            state = np.zeros(len(w), np.intp)
-            for _ in range(self.depth):  # the state depends on the last `depth` symbols alone
-                state = step[state * width + flat[place]].astype(np.intp)
-                place = place + 1
-            sums = np.zeros(len(w))
-            for t in range(int(size[0])):
-                live = int(np.searchsorted(-size, -t, side="left"))  # windows longer than t come first
-                if live < len(state):
-                    state, place = state[:live], place[:live]
-                here = state * width + flat[place]
-                sums[:live] += log[here]
-                state = step[here].astype(np.intp)
-                place = place + 1
-            np.add.at(out, row[w], sums)
+        runs, n = runs_of(texts, self.depth)
+        each, at = np.unique(runs, return_inverse=True)
+        return np.bincount(np.repeat(np.arange(len(texts)), n), self.look(each)[0][at], len(texts))
+
+    @cached_property
+    def states(self) -> Suffixes:
+        """Contexts and their beginnings, so that a state and a symbol determine the next state."""
+        contexts, each = self.suffixes.contexts, [self.suffixes.contexts]
+        for _ in range(self.depth):  # without the newest symbol
+            contexts = contexts << 9 & mask(self.depth, self.depth)
+            each.append(contexts)
+        return Suffixes(np.unique(np.concatenate(each)), self.depth)
+
+    @cached_property
+    def step(self) -> np.ndarray:
+        """step[state, symbol], to look at small trees; symbol 0 stands for all bytes never seen."""
+        out = np.zeros((len(self.states.contexts), len(self.alphabet) + 1), np.int32)
+        for x in self.alphabet:
+            out[:, self.symbol[x]] = self.states.longest(self.states.contexts >> 9 | (x + 1) << 9 * (self.depth - 1))
+        return out
+
+    @cached_property
+    def log(self) -> np.ndarray:
+        """log10 probability[state, symbol], to look at small trees."""
+        never = [x for x in range(256) if not self.symbol[x]][:1]
+        out = np.zeros((len(self.states.contexts), len(self.alphabet) + 1), np.float32)
+        for x in never + self.alphabet:
+            out[:, self.symbol[x]] = self.look(self.states.contexts << 8 | x)[0]
         return out
 
+    @property
+    def start(self) -> int:
+        state = 0
+        for _ in range(self.depth):
+            state = int(self.step[state, self.symbol[END]])
+        return state
 
-def learn_tree(d: DataFrame, *, depth: int = DEPTH, share: float = LEAST_SHARE, divergence: float = DIVERGENCE) -> SuffixAutomaton:
-    """A tree from all texts of d (t binary). At most depth / share contexts come to the driver."""
+
+def grown(d: DataFrame, depth: int, least: int, share: float, divergence: float) -> tuple[np.ndarray, DataFrame]:
+    """(counts of the 256 symbols, the tree from all texts of d (t binary)).
+
+    The tree is (context, x, n, p, shorter): for each context kept and symbol seen after it, the context's
+    count, the symbol's probability and that after the suffix that is shorter by one.
+    """
     runs = written(counted(d, "runs", depth))
-    total = runs.agg(F.sum("c")).head()[0] or 0
-    sizes = F.array(*(F.lit(x) for x in range(depth + 1)))
-    each = runs.select(F.explode(sizes).alias("d"), "k", "c")
-    mask = F.element_at(F.array(*(F.lit((1 << (8 * (x + 1))) - 1) for x in range(depth + 1))), F.col("d") + 1)
-    each = each.select("d", F.col("k").bitwiseAND(mask).alias("k"), "c").groupBy("d", "k").agg(F.sum("c").alias("c"))
+    root = np.zeros(256)
+    for r in runs.groupBy(F.col("k").bitwiseAND(F.lit(255)).alias("x")).agg(F.sum("c").alias("c")).collect():
+        root[r["x"]] = r["c"]
+    total = root.sum()
+    least = min(least, share * total)
+    masks = F.array(*(F.lit(mask(j, depth) << 8 | 255) for j in range(1, depth + 1)))
+    each = runs.select(F.posexplode(masks).alias("d", "m"), "k", "c").select("d", F.col("k").bitwiseAND(F.col("m")).alias("k"), "c")
+    each = each.groupBy("d", "k").agg(F.sum("c").alias("c"))
     each = each.select("d", F.shiftright("k", 8).alias("context"), F.col("k").bitwiseAND(F.lit(255)).alias("x"), "c")
-    often = each.groupBy(F.col("d").alias("d2"), F.col("context").alias("context2")).agg(F.sum("c").alias("n")).where(F.col("n") >= share * total)
-    got = each.join(often, (F.col("d") == F.col("d2")) & (F.col("context") == F.col("context2"))).select("d", "context", "x", "c").toArrow()
-    columns = [got[c].to_numpy().astype(np.int64) for c in ("d", "context", "x", "c")]
-    order = np.lexsort(columns[2::-1])
-    at, context, x, c = (v[order] for v in columns)
-    return SuffixAutomaton([(context[at == k], x[at == k], c[at == k]) for k in range(depth + 1)], depth, divergence)
+    often = each.groupBy(F.col("context").alias("context2")).agg(F.sum("c").alias("n")).where(F.col("n") >= least)
+    pairs = written(each.join(often, F.col("context") == F.col("context2")).select("d", "context", "x", "c", "n"))
+    before = d.sparkSession.createDataFrame([(0, x, float((root[x] + 0.1) / (total + 25.6))) for x in range(256)], "suffix long, x2 long, shorter double")
+    levels = None
+    for j in range(1, depth + 1):
+        suffix = F.col("context").bitwiseAND(F.lit(mask(j - 1, depth)))
+        level = pairs.where(F.col("d") == j - 1).join(before, (suffix == F.col("suffix")) & (F.col("x") == F.col("x2")))
+        level = written(level.select("context", "x", "c", "n", "shorter", ((F.col("c") + SMOOTH * F.col("shorter")) / (F.col("n") + SMOOTH)).alias("p")))
+        before = level.select(F.col("context").alias("suffix"), F.col("x").alias("x2"), F.col("p").alias("shorter"))
+        levels = level if levels is None else levels.unionByName(level)
+    own = F.col("c") / F.col("n")
+    apart = levels.groupBy("context").agg(F.sum(own * F.log(own / F.col("shorter"))).alias("far")).where(F.col("far") >= divergence)
+    # With all their suffixes; the empty one is the root.
+    kept = apart.select(F.explode(F.array(*(F.col("context").bitwiseAND(F.lit(mask(j, depth))) for j in range(1, depth + 1)))).alias("context2")).distinct()
+    return root, written(levels.join(kept, F.col("context") == F.col("context2")).select("context", "x", "n", "p", "shorter"))
+
+
+def frequent_part(tree: DataFrame, root: np.ndarray, depth: int, head: int) -> tuple[SuffixAutomaton, int]:
+    """(the tree's contexts that occur often enough for `head` rows at most, the least count of theirs). Suffixes are as frequent."""
+    least, many = 1 << 62, 0
+    for r in tree.groupBy(F.floor(F.log2("n") * 16).alias("b")).agg(F.count("*").alias("rows"), F.min("n").alias("least")).orderBy(F.desc("b")).collect():
+        many += r["rows"]
+        if many > head:
+            break
+        least = r["least"]
+    got = tree.where(F.col("n") >= least).select(F.shiftleft("context", 8).bitwiseOR(F.col("x")).alias("k"), "n", F.log10("p").cast("float").alias("log")).toArrow()
+    k, n, log = (got[c].to_numpy() for c in ("k", "n", "log"))
+    return SuffixAutomaton(root, k >> 8, k & 255, n, log, depth), least
+
+
+def learn_tree(d: DataFrame, *, depth: int = DEPTH, least: int = LEAST, share: float = LEAST_SHARE, divergence: float = DIVERGENCE, head: int = TREE_HEAD) -> SuffixAutomaton:
+    """A tree from all texts of d (t binary), of contexts that occur `least` times or in a `share` of all positions; of these the most frequent, `head` rows at most."""
+    root, tree = grown(d, depth, least, share, divergence)
+    return frequent_part(tree, root, depth, head)[0]
+
+
+def bit_of(contexts: np.ndarray) -> np.ndarray:
+    return (mixed(contexts.view(np.uint64)) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def bitmap(contexts: DataFrame) -> np.ndarray:
+    """2**BITS bits, as bytes; bit_of(context) is set for each (context)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(bit_of(batch.column(0).to_numpy()))], names=["bit"])
+
+    bits = contexts.mapInArrow(run, "bit long")
+    word = F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")
+    got = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(word).toArrow()
+    out = np.zeros(1 << (BITS - 6), np.int64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return out
 
 
-def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, fold: int = 0, head: int = HEAD) -> DataFrame:
+def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, fold: int = 0, head: int = HEAD, tree_head: int = TREE_HEAD) -> DataFrame:
     """Score every whole text, learning from those outside the held-out fold.
 
     Returns id, held_out, n_tokens, n_known, train_tokens, base_score, score. Null texts are empty: one
@@ -223,7 +303,13 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("i"), as_bytes(text_col).alias("t"), held_out(id_col, folds, fold).alias("held_out"))
     train = d.where(~F.col("held_out")).select("t")
-    tree = spark.sparkContext.broadcast(learn_tree(train))
+    root, grown_tree = grown(train, DEPTH, LEAST, LEAST_SHARE, DIVERGENCE)
+    automaton, least_n = frequent_part(grown_tree, root, DEPTH, tree_head)
+    tail = grown_tree.where(F.col("n") < least_n)
+    beyond = bitmap(tail.select("context").distinct()) if tail.limit(1).count() else None
+    joined = beyond is not None
+    tree = spark.sparkContext.broadcast((automaton, beyond))
+    del automaton, beyond
     words = written(counted(train, "words"))
     ends = train.count()
     row = words.agg(F.sum("c"), F.count("c")).head()
@@ -243,14 +329,35 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     end_score = float(np.log10((ends + 0.1) / below))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, (keys, logs) = tree.value, frequent.value
+        (automaton, beyond), (keys, logs) = tree.value, frequent.value
         for batch in batches:
             for start, end in slices(batch, 1):
                 part = batch.slice(start, end - start)
                 raw = part.column(1).to_pylist()
                 flat, n = hashed(raw, lower=True)
                 texts = [split_words(t, lower=True) for t in raw]
-                score = automaton.scores(texts)
+                runs, size = runs_of(texts, DEPTH)
+                each, place = np.unique(runs, return_inverse=True)
+                log, length = automaton.look(each)
+                text = np.repeat(np.arange(len(texts)), size)
+                score = np.bincount(text, log[place], len(texts))
+                deep, holder = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                if beyond is not None:
+                    longest = length.copy()  # of the suffixes that may be in the tree
+                    for d in range(1, DEPTH + 1):
+                        at = np.flatnonzero(longest == d - 1)
+                        bit = bit_of(each[at] >> 8 & mask(d, DEPTH))
+                        longest[at[beyond[bit >> 6] >> (bit & 63) & 1 > 0]] = d
+                    found = np.flatnonzero((longest > length)[place])
+                    kind, of = place[found], text[found]
+                    for d in range(1, DEPTH + 1):
+                        take = (length[kind] < d) & (longest[kind] >= d)
+                        deep.append(each[kind[take]] & (mask(d, DEPTH) << 8 | 255))
+                        holder.append(of[take])
+                holder = np.concatenate(holder)
+                deep = np.concatenate(deep)[np.argsort(holder, kind="stable")]
+                ends_of = np.r_[0, np.cumsum(np.bincount(holder, minlength=len(texts)))].astype(np.int32)
+                deep_of = pa.ListArray.from_arrays(pa.array(ends_of, pa.int32()), pa.array(deep))
                 names = [xxhash.xxh3_128_intdigest(b" ".join(ws)) for ws in texts]
                 at = np.searchsorted(keys, flat)
                 hit = keys[np.minimum(at, len(keys) - 1)] == flat if len(keys) else np.zeros(len(flat), bool)
@@ -261,17 +368,26 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 edges = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(texts)))].astype(np.int32)
                 words_of = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(rare.view(np.int64)))
                 halves = [pa.array(np.array([x >> s & (1 << 64) - 1 for x in names], np.uint64).view(np.int64)) for s in (0, 64)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n + 1), pa.array(sure.astype(np.int64)), pa.array(base), pa.array(score), *halves, words_of], names=["i", "held_out", "n_tokens", "sure", "base", "score", "a", "b", "rare"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n + 1), pa.array(sure.astype(np.int64)), pa.array(base), pa.array(score), *halves, words_of, deep_of], names=["i", "held_out", "n_tokens", "sure", "base", "score", "a", "b", "rare", "deep"])
 
-    made = written(d.mapInArrow(run, "i long, held_out boolean, n_tokens long, sure long, base double, score double, a long, b long, rare array<long>"))
-    # Equal texts have equal rare words, which are looked up once.
-    rare = made.where(F.size("rare") > 0).select("a", "b", "rare").dropDuplicates(["a", "b"]).select("a", "b", F.explode("rare").alias("w"))
+    made = written(d.mapInArrow(run, "i long, held_out boolean, n_tokens long, sure long, base double, score double, a long, b long, rare array<long>, deep array<long>"))
+    tree.unpersist()
+    frequent.unpersist()
+    # Equal texts have equal rare words and contexts, which are looked up once.
+    once = lambda name: made.where(F.size(name) > 0).select("a", "b", name).dropDuplicates(["a", "b"]).select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.explode(name).alias("w"))
     rest = words.where(F.col("c") < least)
-    looked = rare.join(rest, F.col("w") == F.col("k"), "left").select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.coalesce("c", F.lit(0)).alias("c"))
-    looked = looked.groupBy("a2", "b2").agg(F.sum(F.log10((F.col("c") + 0.1) / below)).alias("more"), F.sum((F.col("c") > 0).cast("long")).alias("seen"))
+    looked = once("rare").join(rest, F.col("w") == F.col("k"), "left").select("a2", "b2", F.coalesce("c", F.lit(0)).alias("c"))
+    looked = looked.select("a2", "b2", F.log10((F.col("c") + 0.1) / below).alias("more"), (F.col("c") > 0).cast("long").alias("seen"), F.lit(0.0).alias("deeper"))
+    if joined:
+        # What a context adds to its suffix's logarithm, for each symbol seen after it and for all others.
+        gain = F.map_from_entries(F.collect_list(F.struct("x", F.log10(F.col("p") / F.col("shorter")).alias("gain")))).alias("gains")
+        gains = tail.groupBy("context").agg(gain, F.max(F.log10(SMOOTH / (F.col("n") + SMOOTH))).alias("other"))
+        found = once("deep").join(gains, F.shiftright("w", 8) == F.col("context"))
+        looked = looked.unionByName(found.select("a2", "b2", F.lit(0.0).alias("more"), F.lit(0).cast("long").alias("seen"), F.coalesce(F.try_element_at("gains", F.col("w").bitwiseAND(F.lit(255))), "other").alias("deeper")))
+    looked = looked.groupBy("a2", "b2").agg(F.sum("more").alias("more"), F.sum("seen").alias("seen"), F.sum("deeper").alias("deeper"))
     looked = written(looked)  # so that both sides of the join are dealt anew, and a text with very many copies can be split
     out = made.join(looked, (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")), "left")
-    return out.select(F.col("i").alias(id_col), "held_out", "n_tokens", (F.col("sure") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+    return out.select(F.col("i").alias(id_col), "held_out", "n_tokens", (F.col("sure") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("deeper", F.lit(0.0))).alias("score"))
 
 
 def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,3 +79,16 @@ def test_probabilities_add_up_and_longest_suffix_is_used(spark):
 def test_clashing_names_are_ignored(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("i", "t", "k", "c", "rare", "score")})
     assert score_texts(d).count() == 1
+
+
+def test_a_context_counts_however_large_the_corpus(spark):
+    # 40 of 5 million positions: less than a share of 1e-5
+    d = spark.range(500).selectExpr("cast(repeat('ab ba ', 1700) as binary) t").unionByName(spark.range(40).selectExpr("cast('xqzvkwjp' as binary) t"))
+    assert learn_tree(d).scores([[b"xqzvkwjp"]])[0] > -8
+
+
+def test_contexts_that_are_joined_score_as_those_in_every_task(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want, some, none = ({r.doc_id: r.score for r in score_texts(d, tree_head=n).collect()} for n in (10**7, 3000, 0))
+    assert some == pytest.approx(want, rel=1e-5)
+    assert none == pytest.approx(want, rel=1e-5)
