@@ -28,6 +28,8 @@ class Scene:
         self.side = images.events_side(spark, sf_dir)
         self.n = (self.side // 4) ** 2
         self.config = VQConfig(width=self.side, height=self.side, codes=CODES)
+        # The full training has the reference's codes, fewer only where a plane has fewer blocks than those.
+        self.trained = VQConfig(width=self.side, height=self.side, codes=VQConfig.codes if self.n >= VQConfig.codes else CODES)
         self.tables: dict[str, DataFrame] = {}
 
     def pixels(self, color: bool = True) -> DataFrame:
@@ -178,17 +180,17 @@ def lbg_distributed_small(spark, sf_dir):
 
 def lbg_codebook(spark, sf_dir):
     s = Scene(spark, sf_dir)
-    return cells(train.fit_grouped(s.vectors(), s.config).codebook, "code", array="w")
+    return cells(train.fit_grouped(s.vectors(), s.trained).codebook, "code", array="w")
 
 
 def lbg_labels(spark, sf_dir):
     s = Scene(spark, sf_dir)
-    return plain(train.fit_grouped(s.vectors(), s.config).labels)
+    return plain(train.fit_grouped(s.vectors(), s.trained).labels)
 
 
 def lbg_iterations(spark, sf_dir):
     s = Scene(spark, sf_dir)
-    return plain(train.fit_grouped(s.vectors(), s.config).iterations)
+    return plain(train.fit_grouped(s.vectors(), s.trained).iterations)
 
 
 def embedding_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,13 +376,13 @@ PLANE_METRICS = ["mse", "psnr", "ssim", "entropy_label", "entropy_delta", "cr_da
 
 def pipeline_gray(spark, sf_dir):
     s = Scene(spark, sf_dir)
-    planes = pipeline.run(s.pixels(False), s.config).planes
+    planes = pipeline.run(s.pixels(False), s.trained).planes
     return rounded6(planes.select("channel", "total_bytes", "roundtrip", *PLANE_METRICS), *PLANE_METRICS)
 
 
 def pipeline_color(spark, sf_dir):
     s = Scene(spark, sf_dir)
-    whole = pipeline.images(pipeline.run(s.pixels(), s.config), s.config)
+    whole = pipeline.images(pipeline.run(s.pixels(), s.trained), s.trained)
     return rounded6(whole, "mse", "ssim", "psnr", "cr_total", "cr_system")
 
 

@@ -295,3 +295,11 @@ def test_command_line(spark, tmp_path, capsys):
     assert "round trip ok" in capsys.readouterr().out
     assert len(list((tmp_path / "out" / "compressed_filtered").glob("*.bmp"))) == 1
     assert spark.read.text(f"file://{tmp_path}/out/decompress").count() == 256
+
+
+@pytest.mark.parametrize(("scale", "codes"), [("0.001", 16), ("0.01", 64)])
+def test_trained_queries_have_the_codes_of_the_reference(spark, scale, codes):
+    from blockloom.plans.queries import lbg_codebook
+
+    got = lbg_codebook(spark, f"/root/testdata/sf{scale}").groupBy("channel").agg(F.countDistinct("code").alias("n")).collect()
+    assert {r.n for r in got} == {codes} and len(got) == 3
