@@ -33,7 +33,7 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
     spark = spark or SparkSession.builder.appName("blockloom").getOrCreate()
     pixels = images.scan_text(spark, path, config.width, config.height, mode)
     result = pipeline.run(pixels, config)
-    print(pipeline.report(result))
+    print(pipeline.report(result, config))
     if out:
         pipeline.write_outputs(result, pixels, config, out)
     return 0

@@ -27,10 +27,6 @@ def psnr(mse: Column, peak: int = 255) -> Column:
     return F.when(mse == 0, F.lit(100.0)).otherwise(10.0 * F.log10(F.lit(float(peak * peak)) / mse))
 
 
-def relative_improvement(before: Column, now: Column) -> Column:
-    return F.abs(before - now) / (now + 1e-9)
-
-
 def ratio(a: Column, b: Column) -> Column:
     """a / b, and 0 where b is 0."""
     return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / b)

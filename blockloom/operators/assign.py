@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.functions.pixels import squared_distance
 
 from .blocks import PLANE
+from .train import assign as nearest_codes
+from .train import by_plane
+
+#: The most rows of codebooks that go to every task (13 MB of codes of 16 values).
+BOOKS = 100_000
 
 
 def distances(vectors: DataFrame, codebook: DataFrame, length: int = 16) -> DataFrame:
@@ -16,18 +25,43 @@ def distances(vectors: DataFrame, codebook: DataFrame, length: int = 16) -> Data
     return both.select(*PLANE, "vec_idx", "code", squared_distance(F.col("v").cast("array<double>"), F.col("w").cast("array<double>"), length).alias("dist"))
 
 
-def bounded(codebook: DataFrame, rows: int = 100_000) -> bool:
+def bounded(codebook: DataFrame, rows: int = BOOKS) -> bool:
     """Whether a codebook is small enough to broadcast; it grows with the number of planes."""
     return codebook.limit(rows + 1).count() <= rows
 
 
 def nearest(vectors: DataFrame, codebook: DataFrame, length: int = 16) -> DataFrame:
-    """(…, vec_idx, v, label, dist): ties go to the lowest code.
+    """(…, vec_idx, v, label, dist): ties go to the lowest code; vectors of planes without a codebook are left out.
 
-    A plane's codes come as one array, so each vector meets them in its own row, without a row a pair or an aggregate.
+    Codebooks of at most BOOKS rows in all go to every task, which compares its vectors with them in blocks. More are joined by plane: a
+    plane's codes come as one array, so each vector meets them in its own row, without a row a pair or an aggregate.
     """
-    words = codebook.groupBy(*PLANE).agg(F.array_sort(F.collect_list(F.struct("code", F.col("w").cast("array<double>").alias("w")))).alias("words"))
-    words = F.broadcast(words) if bounded(words, 400) else words
+    book = codebook.select(*PLANE, "code", F.col("w").cast("array<double>").alias("w"))
+    table = book.limit(BOOKS + 1).toArrow()
+    if table.num_rows > BOOKS:
+        return nearest_joined(vectors, book, length)
+    books: dict[tuple, list] = {}
+    for image, channel, code, w in zip(*(c.to_pylist() for c in table.columns), strict=True):
+        books.setdefault((image, channel), []).append((code, w))
+    number = {plane: i for i, plane in enumerate(books)}
+    words = [(np.array([c for c, _ in sorted(b)], np.int32), np.array([w for _, w in sorted(b)])) for b in books.values()]
+    sent = vectors.sparkSession.sparkContext.broadcast((number, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, words = sent.value
+        for whole in batches:
+            for k, batch in by_plane(whole, number):
+                codes, w = words[k]
+                x = batch.column(3).flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.float64)
+                label, best = nearest_codes(x, w)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes[label]), pa.array(best)], names=[*batch.schema.names, "label", "dist"])
+
+    kind = vectors.schema["v"].dataType.simpleString()
+    return vectors.select(*PLANE, "vec_idx", "v").mapInArrow(run, f"image_id string, channel string, vec_idx int, v {kind}, label int, dist double")
+
+
+def nearest_joined(vectors: DataFrame, codebook: DataFrame, length: int = 16) -> DataFrame:
+    words = codebook.groupBy(*PLANE).agg(F.array_sort(F.collect_list(F.struct("code", "w"))).alias("words"))
     both = vectors.join(words, PLANE).withColumn("d", F.col("v").cast("array<double>"))
     best = F.array_min(F.transform("words", lambda c: F.struct(squared_distance(F.col("d"), c["w"], length).alias("dist"), c["code"].alias("code"))))
     return both.withColumn("best", best).select(*PLANE, "vec_idx", "v", F.col("best.code").alias("label"), F.col("best.dist").alias("dist"))

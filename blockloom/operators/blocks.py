@@ -11,13 +11,19 @@ PLANE = ["image_id", "channel"]
 
 
 def to_vectors(pixels: DataFrame, width: int, block: int = 4) -> DataFrame:
-    """(image_id, channel, vec_idx, v): one array a block, blocks and the pixels in them in raster order."""
+    """(image_id, channel, vec_idx, v): one array a block, blocks and the pixels in them in raster order.
+
+    A block that lacks a pixel, or has one twice, fails the job.
+    """
     across = width // block
     at = F.floor(F.col("y") / block) * across + F.floor(F.col("x") / block)
     pos = (F.col("y") % block) * block + F.col("x") % block
     cells = pixels.select(*PLANE, at.cast("int").alias("vec_idx"), F.struct(pos.cast("int").alias("pos"), F.col("v").cast("float").alias("v")).alias("c"))
     rows = cells.groupBy(*PLANE, "vec_idx").agg(F.array_sort(F.collect_list("c")).alias("c"))
-    return rows.select(*PLANE, "vec_idx", F.transform("c", lambda c: c["v"]).alias("v"))
+    places = F.col("c.pos") == F.array(*map(F.lit, range(block * block)))
+    whole = places & (F.size(F.array_compact("c.v")) == block * block)
+    message = F.concat(F.col("image_id"), F.lit(" "), F.col("channel"), F.lit(": block "), F.col("vec_idx").cast("string"), F.lit(" is not whole"))
+    return rows.select(*PLANE, "vec_idx", F.when(whole, F.col("c.v")).otherwise(F.raise_error(message).cast("array<float>")).alias("v"))
 
 
 def to_pixels(vectors: DataFrame, width: int, block: int = 4, column: str = "v") -> DataFrame:

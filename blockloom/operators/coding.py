@@ -7,29 +7,25 @@ import heapq
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import order
 from .blocks import PLANE
-
-
-def in_order() -> WindowSpec:
-    """Labels of a plane in the order of their blocks; a plane is one task's window."""
-    return Window.partitionBy(*PLANE).orderBy("vec_idx")
+from .order import previous, running
 
 
 def delta_encode(labels: DataFrame) -> DataFrame:
     """(…, vec_idx, d): the first label as it is, then (label - previous + 128) mod 256."""
-    previous = F.lag("label").over(in_order())
-    return labels.select(*PLANE, "vec_idx", F.coalesce(F.pmod(F.col("label") - previous + 128, F.lit(256)), F.col("label")).cast("int").alias("d"))
+    rows = previous(labels.select(*PLANE, "vec_idx", "label"), PLANE, "label", "before")
+    return rows.select(*PLANE, "vec_idx", F.coalesce(F.pmod(F.col("label") - F.col("before") + 128, F.lit(256)), F.col("label")).cast("int").alias("d"))
 
 
 def delta_decode(deltas: DataFrame) -> DataFrame:
     """(…, vec_idx, label): the running sum modulo 256."""
-    step = F.when(F.row_number().over(in_order()) == 1, F.col("d")).otherwise(F.col("d") - 128)
-    steps = deltas.select(*PLANE, "vec_idx", step.alias("step"))
-    run = in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return steps.select(*PLANE, "vec_idx", F.pmod(F.sum("step").over(run), F.lit(256)).cast("int").alias("label"))
+    step = F.when(F.col("vec_idx") == 0, F.col("d")).otherwise(F.col("d") - 128)
+    rows = running(deltas.select(*PLANE, "vec_idx", "d"), PLANE, step, "sum")
+    return rows.select(*PLANE, "vec_idx", F.pmod(F.col("sum"), F.lit(256)).cast("int").alias("label"))
 
 
 def histogram(rows: DataFrame, column: str) -> DataFrame:
@@ -67,26 +63,30 @@ def huffman_sizes(hist: DataFrame) -> DataFrame:
 
 
 def code_table(symbols: list[int], freqs: list[int]) -> dict[int, tuple[int, int]]:
-    """symbol -> (length, bits): the lighter of two merged nodes gets 0; equal weights go by age, lower symbols first."""
+    """symbol -> (length, bits): a canonical optimal prefix code.
+
+    Lengths come from merging the two lightest nodes; equal weights go by age, symbols before merged nodes and lower
+    symbols first. Codes count up in the order of length and symbol. A lone symbol has the code 0 of one bit.
+    """
     heap = [(f, i, (s,)) for i, (f, s) in enumerate(sorted(zip(freqs, symbols, strict=True))) if f > 0]
-    codes = {s: (0, 0) for _, _, (s,) in heap}
-    if len(heap) == 1:
-        return {s: (1, 0) for s in codes}
+    lengths = {s: int(len(heap) == 1) for _, _, (s,) in heap}
     heapq.heapify(heap)
-    age = len(heap)
+    age = len(symbols)
     while len(heap) > 1:
         (f, _, left), (g, _, right) = heapq.heappop(heap), heapq.heappop(heap)
-        for bit, side in ((0, left), (1, right)):
-            for s in side:
-                length, bits = codes[s]
-                codes[s] = (length + 1, bit << length | bits)
+        for s in left + right:
+            lengths[s] += 1
         heapq.heappush(heap, (f + g, age, left + right))
         age += 1
+    codes, code, last = {}, 0, 0
+    for length, s in sorted((n, s) for s, n in lengths.items()):
+        code <<= length - last
+        codes[s], code, last = (length, code), code + 1, length
     return codes
 
 
-def pack(values: np.ndarray, codes: dict[int, tuple[int, int]]) -> bytes:
-    """Codes end to end, most significant bit first, the last byte filled up with zeros."""
+def pack(values: np.ndarray, codes: dict[int, tuple[int, int]], skip: int = 0) -> bytes:
+    """Codes end to end, most significant bit first, after `skip` zeros; the last byte filled up with zeros."""
     if not len(values):
         return b""
     longest = max(length for length, _ in codes.values())
@@ -95,14 +95,14 @@ def pack(values: np.ndarray, codes: dict[int, tuple[int, int]]) -> bytes:
         lengths[s] = length
         bits[s, :length] = [code >> (length - 1 - j) & 1 for j in range(length)]
     inside = np.arange(longest)[None, :] < lengths[values][:, None]
-    return np.packbits(bits[values][inside]).tobytes()
+    return np.packbits(np.r_[np.zeros(skip, np.uint8), bits[values][inside]]).tobytes()
 
 
-def unpack(data: bytes, codes: dict[int, tuple[int, int]], n: int) -> list[int]:
-    """The first n symbols."""
+def unpack(data: bytes, codes: dict[int, tuple[int, int]], n: int, skip: int = 0) -> list[int]:
+    """The first n symbols after `skip` bits."""
     by = {code: s for s, code in codes.items()}
     out, length, code = [], 0, 0
-    for bit in np.unpackbits(np.frombuffer(data, np.uint8)).tolist() if n else ():
+    for bit in np.unpackbits(np.frombuffer(data, np.uint8)).tolist()[skip:] if n else ():
         length, code = length + 1, code << 1 | bit
         if (s := by.get((length, code))) is not None:
             out.append(s)
@@ -128,8 +128,7 @@ def bit_offsets(deltas: DataFrame, codes: DataFrame) -> DataFrame:
     """(…, vec_idx, d, len, bits, start): where each code begins in its plane's stream, by a running sum of lengths. At most 256 codes a plane."""
     words = codes.select(*PLANE, F.col("symbol").alias("d"), "len", "bits")
     coded = deltas.select(*PLANE, "vec_idx", "d").join(words, [*PLANE, "d"])
-    run = in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return coded.withColumn("start", F.sum("len").over(run) - F.col("len"))
+    return running(coded, PLANE, F.col("len"), "start").withColumn("start", F.col("start") - F.col("len"))
 
 
 def mismatches(first: DataFrame, second: DataFrame, column: str = "label") -> DataFrame:
@@ -139,19 +138,30 @@ def mismatches(first: DataFrame, second: DataFrame, column: str = "label") -> Da
     return a.join(b, [*PLANE, "vec_idx"], "full").groupBy(*PLANE).agg(F.sum((~F.col("a").eqNullSafe(F.col("b"))).cast("bigint")).alias("mismatches"))
 
 
-def huffman_encode(deltas: DataFrame) -> DataFrame:
-    """(…, n, data, data_bytes, header_bytes, roundtrip): the stream of each plane, and whether decoding it gives the plane back.
+def huffman_pieces(deltas: DataFrame, codes: DataFrame) -> DataFrame:
+    """(…, piece, n, start, bits, data, roundtrip): each plane's stream in pieces of at most order.RUN codes, and whether decoding a piece gives its symbols back.
 
-    Coding is sequential inside a plane, so a plane is a group; planes run beside each other.
+    A piece begins at bit `start` of the stream: its first byte is that of this bit, and the bits of other pieces in its first and last bytes are 0.
+    So pieces that meet in a byte are joined by OR, and no task holds a plane.
     """
 
     def encode(key: tuple, table: pa.Table) -> pa.Table:
-        d = table.sort_by("vec_idx")["d"].to_numpy()
-        symbols, freqs = np.unique(d, return_counts=True)
-        codes = code_table(symbols.tolist(), freqs.tolist())
-        data = pack(d, codes)
-        same = unpack(data, codes, len(d)) == d.tolist()
-        planes = {c: pa.array([k.as_py()], pa.string()) for c, k in zip(PLANE, key, strict=True)}
-        return pa.table({**planes, "n": pa.array([len(d)], pa.int64()), "data": pa.array([data], pa.binary()), "data_bytes": pa.array([len(data)], pa.int64()), "header_bytes": pa.array([4 * len(codes)], pa.int64()), "roundtrip": pa.array([same])})
-
-    return deltas.select(*PLANE, "vec_idx", "d").groupBy(*PLANE).applyInArrow(encode, "image_id string, channel string, n long, data binary, data_bytes long, header_bytes long, roundtrip boolean")
+        table = table.sort_by("vec_idx")
+        d, length, bits = (table[c].to_numpy() for c in ("d", "len", "bits"))
+        each, at = np.unique(d, return_index=True)
+        words = {int(s): (int(length[i]), int(bits[i])) for s, i in zip(each, at, strict=True)}
+        start = table["start"][0].as_py()
+        stream = pack(d, words, start % 8)
+        same = unpack(stream, words, len(d), start % 8) == d.tolist()
+        planes = {c: pa.array([k.as_py()], pa.string()) for c, k in zip(PLANE, key, strict=False)}
+        return pa.table({**planes, "piece": pa.array([key[2].as_py()], pa.int32()), "n": pa.array([len(d)], pa.int64()), "start": pa.array([start], pa.int64()), "bits": pa.array([int(length.sum())], pa.int64()), "data": pa.array([stream], pa.binary()), "roundtrip": pa.array([same])})
+
+    coded = bit_offsets(deltas, codes).select(*PLANE, F.floor(F.col("vec_idx") / order.RUN).cast("int").alias("piece"), "vec_idx", "d", "len", "bits", "start")
+    return coded.groupBy(*PLANE, "piece").applyInArrow(encode, "image_id string, channel string, piece int, n long, start long, bits long, data binary, roundtrip boolean")
+
+
+def huffman_streams(pieces: DataFrame, codes: DataFrame) -> DataFrame:
+    """(…, n, data_bytes, header_bytes, roundtrip) of each plane, from its pieces and its code table."""
+    table = codes.groupBy(*PLANE).agg((4 * F.count("*")).alias("header_bytes"))
+    planes = pieces.groupBy(*PLANE).agg(F.sum("n").alias("n"), F.ceil(F.sum("bits") / 8).cast("bigint").alias("data_bytes"), F.every("roundtrip").alias("roundtrip"))
+    return planes.join(table, PLANE).select(*PLANE, "n", "data_bytes", "header_bytes", "roundtrip")

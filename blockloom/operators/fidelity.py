@@ -17,16 +17,20 @@ def mse_psnr(pairs: DataFrame) -> DataFrame:
 
 
 def compression_ratios(sizes: DataFrame, pixels: int, vectors: int, config: VQConfig) -> DataFrame:
-    """Of huffman_sizes: cr_data, cr_total, cr_system (with the codebook's bytes), cr_fixed (an index a block), bpp."""
-    raw, book = F.lit(float(pixels)), config.codes * config.length
-    s = sizes.withColumn("cr_data", ratio(raw, F.col("data_bytes"))).withColumn("cr_total", ratio(raw, F.col("total_bytes")))
+    """Of huffman_sizes. Of the labels, a byte each: cr_data (over the coded bytes), cr_total (with the header).
+
+    Of the pixels, a byte each: cr_system (over codebook, header and coded bytes), cr_fixed (over codebook and a byte a label), bpp (8 / cr_system).
+    """
+    labels, raw, book = F.lit(float(vectors)), F.lit(float(pixels)), config.codes * config.length
+    s = sizes.withColumn("cr_data", ratio(labels, F.col("data_bytes"))).withColumn("cr_total", ratio(labels, F.col("total_bytes")))
     s = s.withColumn("cr_system", ratio(raw, F.col("total_bytes") + book)).withColumn("cr_fixed", ratio(raw, F.lit(float(book + vectors))))
     return s.withColumn("bpp", ratio(F.lit(8.0), F.col("cr_system")))
 
 
 def image_metrics(planes: DataFrame, pixels: int, codebook_bytes: int) -> DataFrame:
-    """Planes to images: mean mse and ssim, psnr of the mean mse, and ratios of totals, not means of ratios."""
-    whole = planes.groupBy("image_id").agg(F.count("*").alias("planes"), F.avg("mse").alias("mse"), F.avg("ssim").alias("ssim"), F.sum("total_bytes").alias("total_bytes"))
+    """Planes to images: mean mse and ssim, psnr of the mean mse, bytes with codebooks, the ratio of totals, not a mean of ratios, and all planes' seconds of training."""
+    bytes_ = F.sum("total_bytes") + F.count("*") * codebook_bytes
+    seconds = [F.sum("train_seconds").alias("train_seconds")] if "train_seconds" in planes.columns else []
+    whole = planes.groupBy("image_id").agg(F.count("*").alias("planes"), F.avg("mse").alias("mse"), F.avg("ssim").alias("ssim"), bytes_.alias("compressed_bytes"), *seconds)
     whole = whole.withColumn("psnr", psnr(F.col("mse")))
-    raw = F.col("planes") * F.lit(float(pixels))
-    return whole.withColumn("cr_total", ratio(raw, F.col("total_bytes"))).withColumn("cr_system", ratio(raw, F.col("total_bytes") + F.col("planes") * codebook_bytes))
+    return whole.withColumn("cr_system", ratio(F.col("planes") * F.lit(float(pixels)), F.col("compressed_bytes")))

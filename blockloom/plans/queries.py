@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blockloom.functions.pixels import clamp
@@ -14,7 +14,7 @@ from blockloom.sources import images, sinks
 
 from . import pipeline
 from .config import VQConfig
-from .tables import written
+from .tables import scratch, tidy, written
 
 #: Codes of the fixed codebook: every n-th vector. The queries after training use it, so that SQL can follow them.
 CODES = 16
@@ -25,18 +25,19 @@ class Scene:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self.side = images.events_side(spark, sf_dir)
-        self.n = (self.side // 4) ** 2
-        self.config = VQConfig(width=self.side, height=self.side, codes=CODES)
-        # The full training has the reference's codes, fewer only where a plane has fewer blocks than those.
-        self.trained = VQConfig(width=self.side, height=self.side, codes=VQConfig.codes if self.n >= VQConfig.codes else CODES)
+        self.frame = images.events_frame(spark, sf_dir)
+        self.width, self.height = self.frame.width, self.frame.height
+        self.n = (self.width // 4) * (self.height // 4)
+        self.config = VQConfig(width=self.width, height=self.height, codes=CODES)
+        # The full training has the reference's codes.
+        self.trained = VQConfig(width=self.width, height=self.height)
         self.tables: dict[str, DataFrame] = {}
 
     def pixels(self, color: bool = True) -> DataFrame:
-        return images.events_image(self.spark, self.sf_dir, color=color, side=self.side)
+        return images.events_image(self.spark, self.sf_dir, color=color, frame=self.frame)
 
     def vectors(self, color: bool = True) -> DataFrame:
-        return blocks.to_vectors(self.pixels(color), self.side)
+        return blocks.to_vectors(self.pixels(color), self.width)
 
     def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """A table that several steps of a query read is made once."""
@@ -47,19 +48,26 @@ class Scene:
     def blocks(self) -> DataFrame:
         return self.kept("blocks", self.vectors)
 
-    def codebook(self) -> DataFrame:
+    def nth(self, vectors: DataFrame) -> DataFrame:
+        """Every n-th vector as a codebook."""
         step = max(1, self.n // CODES)
         code = F.floor(F.col("vec_idx") / step).cast("int")
-        return self.blocks().where((F.col("vec_idx") % step == 0) & (code < CODES)).select(*PLANE, code.alias("code"), F.col("v").cast("array<double>").alias("w"))
+        return vectors.where((F.col("vec_idx") % step == 0) & (code < CODES)).select(*PLANE, code.alias("code"), F.col("v").cast("array<double>").alias("w"))
+
+    def codebook(self) -> DataFrame:
+        return self.nth(self.blocks())
 
     def labelled(self) -> DataFrame:
         return self.kept("labelled", lambda: assign.nearest(self.blocks(), self.codebook()))
 
     def deltas(self) -> DataFrame:
-        return coding.delta_encode(self.labelled())
+        return self.kept("deltas", lambda: coding.delta_encode(self.labelled()))
+
+    def codes(self) -> DataFrame:
+        return self.kept("codes", lambda: coding.huffman_codes(coding.histogram(self.deltas(), "d")))
 
     def decoded(self) -> DataFrame:
-        return blocks.decode(self.labelled(), self.codebook(), self.side)
+        return blocks.decode(self.labelled(), self.codebook(), self.width)
 
     def pairs(self) -> DataFrame:
         return self.kept("pairs", lambda: stencil.paired(self.pixels(), self.decoded()))
@@ -93,13 +101,13 @@ def clamp_pixels(spark, sf_dir):
 def integer_tokens(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", images.integer_prefix(F.col("text")).alias("tokens"))
     values = F.transform("tokens", lambda t: images.token_value(t))
-    return d.select("doc_id", F.coalesce(F.size("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.aggregate(values, F.lit(0), lambda a, x: a + x), F.lit(0)).alias("total"))
+    return d.select("doc_id", F.coalesce(F.size("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a + x), F.lit(0)).alias("total"))
 
 
 def detect_mode(spark, sf_dir):
     s = Scene(spark, sf_dir)
     counts = s.pixels().groupBy().agg(F.count("*").alias("tokens")).union(s.pixels(False).groupBy().agg(F.count("*"))).union(s.pixels().where("y > 0").groupBy().agg(F.count("*")))
-    return counts.select("tokens", images.mode_of(F.col("tokens"), s.side, s.side).alias("mode"))
+    return counts.select("tokens", images.mode_of(F.col("tokens"), s.width, s.height).alias("mode"))
 
 
 def training_vectors(spark, sf_dir):
@@ -108,7 +116,7 @@ def training_vectors(spark, sf_dir):
 
 def unblock_roundtrip(spark, sf_dir):
     s = Scene(spark, sf_dir)
-    return plain(blocks.to_pixels(s.vectors(), s.side))
+    return plain(blocks.to_pixels(s.vectors(), s.width))
 
 
 def channel_recombine(spark, sf_dir):
@@ -153,7 +161,7 @@ def empty_cell_carry(spark, sf_dir):
 
 def small_config(s: Scene) -> VQConfig:
     """Two stages of three iterations each, in double precision: what SQL can follow step by step."""
-    return VQConfig(width=s.side, height=s.side, codes=4, epsilon=-1.0, max_iter=3, precision="float64")
+    return VQConfig(width=s.width, height=s.height, codes=4, epsilon=-1.0, max_iter=3, precision="float64")
 
 
 def lbg_codebook_small(spark, sf_dir):
@@ -180,17 +188,17 @@ def lbg_distributed_small(spark, sf_dir):
 
 def lbg_codebook(spark, sf_dir):
     s = Scene(spark, sf_dir)
-    return cells(train.fit_grouped(s.vectors(), s.trained).codebook, "code", array="w")
+    return cells(train.fit(s.kept("blocks", s.vectors), s.trained).codebook, "code", array="w")
 
 
 def lbg_labels(spark, sf_dir):
     s = Scene(spark, sf_dir)
-    return plain(train.fit_grouped(s.vectors(), s.trained).labels)
+    return plain(train.fit(s.kept("blocks", s.vectors), s.trained).labels)
 
 
 def lbg_iterations(spark, sf_dir):
     s = Scene(spark, sf_dir)
-    return plain(train.fit_grouped(s.vectors(), s.trained).iterations)
+    return plain(train.fit(s.kept("blocks", s.vectors), s.trained).iterations)
 
 
 def embedding_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,17 +206,24 @@ def embedding_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.lit("embeddings").alias("image_id"), F.col("label").cast("string").alias("channel"), F.col("vec_id").cast("int").alias("vec_idx"), F.col("embedding").alias("v"))
 
 
+def embedding_vq_small(spark, sf_dir):
+    """Two stages of two iterations each on the vectors of each label, which SQL can follow."""
+    trained = train.fit(written(embedding_vectors(spark, sf_dir)), VQConfig(codes=4, epsilon=-1.0, max_iter=2, precision="float64"))
+    return trained.labels.select("channel", "vec_idx", "label")
+
+
 def embedding_vq(spark, sf_dir):
     """A codebook of 4 codes for the 64-dimensional vectors of each label."""
-    trained = train.fit_grouped(embedding_vectors(spark, sf_dir), VQConfig(codes=4))
+    trained = train.fit(written(embedding_vectors(spark, sf_dir)), VQConfig(codes=4))
     return trained.labels.select("channel", "vec_idx", "label")
 
 
 def embedding_nearest(spark, sf_dir):
     """Each embedding's nearest among the first 8 of its label."""
     v = embedding_vectors(spark, sf_dir)
-    ids = v.groupBy("channel").agg(F.slice(F.array_sort(F.collect_list("vec_idx")), 1, 8).alias("ids")).select("channel", F.posexplode("ids").alias("code", "vec_idx"))
-    book = v.join(ids, ["channel", "vec_idx"]).select(*PLANE, "code", F.col("v").cast("array<double>").alias("w"))
+    # Each task keeps its own first 8 before rows are sent.
+    turn = F.row_number().over(Window.partitionBy(*PLANE).orderBy("vec_idx"))
+    book = v.withColumn("code", turn - 1).where("code < 8").select(*PLANE, "code", F.col("v").cast("array<double>").alias("w"))
     return rounded6(plain(assign.nearest(v, book, 64)).select("channel", "vec_idx", "label", "dist"), "dist")
 
 
@@ -261,34 +276,35 @@ def huffman_event_types(spark, sf_dir):
 
 
 def huffman_codes(spark, sf_dir):
-    return plain(coding.huffman_codes(coding.histogram(Scene(spark, sf_dir).deltas(), "d")))
+    return plain(Scene(spark, sf_dir).codes())
 
 
 def huffman_lengths(spark, sf_dir):
-    """Kraft sums and coded bits of the code tables, which don't depend on how ties were broken."""
-    codes = coding.huffman_codes(coding.histogram(Scene(spark, sf_dir).deltas(), "d"))
+    """Kraft sums and coded bits of the code tables."""
+    codes = Scene(spark, sf_dir).codes()
     return codes.groupBy("channel").agg(F.sum(F.pow(F.lit(2.0), -F.col("len"))).alias("kraft"), F.sum(F.col("freq") * F.col("len")).alias("bits"))
 
 
 def huffman_encode(spark, sf_dir):
-    return plain(coding.huffman_encode(Scene(spark, sf_dir).deltas())).select("channel", "n", F.base64("data").alias("data"))
+    """The pieces of each plane's stream."""
+    s = Scene(spark, sf_dir)
+    return plain(coding.huffman_pieces(s.deltas(), s.codes())).select("channel", "piece", "n", "start", "bits", F.lower(F.hex("data")).alias("data"))
 
 
 def huffman_roundtrip(spark, sf_dir):
-    return plain(coding.huffman_encode(Scene(spark, sf_dir).deltas())).drop("data")
+    s = Scene(spark, sf_dir)
+    return plain(coding.huffman_streams(coding.huffman_pieces(s.deltas(), s.codes()), s.codes()))
 
 
 def bit_offsets(spark, sf_dir):
     s = Scene(spark, sf_dir)
-    deltas = s.deltas()
-    return plain(coding.bit_offsets(deltas, coding.huffman_codes(coding.histogram(deltas, "d"))))
+    return plain(coding.bit_offsets(s.deltas(), s.codes()))
 
 
 def stream_bits(spark, sf_dir):
     """The last code of each plane ends where its stream does."""
     s = Scene(spark, sf_dir)
-    deltas = s.deltas()
-    at = coding.bit_offsets(deltas, coding.huffman_codes(coding.histogram(deltas, "d")))
+    at = coding.bit_offsets(s.deltas(), s.codes())
     return at.groupBy("channel").agg(F.count("*").alias("symbols"), F.max(F.col("start") + F.col("len")).alias("bits"))
 
 
@@ -300,7 +316,7 @@ def roundtrip_mismatches(spark, sf_dir):
 def compression_ratios(spark, sf_dir):
     s = Scene(spark, sf_dir)
     sizes = coding.huffman_sizes(coding.histogram(s.deltas(), "d"))
-    got = fidelity.compression_ratios(sizes, s.side**2, s.n, s.config)
+    got = fidelity.compression_ratios(sizes, s.width * s.height, s.n, s.config)
     return rounded6(plain(got).select("channel", "cr_data", "cr_total", "cr_system", "cr_fixed", "bpp"), "cr_data", "cr_total", "cr_system", "cr_fixed", "bpp")
 
 
@@ -323,22 +339,22 @@ def mse_psnr(spark, sf_dir):
 
 def ssim_map(spark, sf_dir):
     s = Scene(spark, sf_dir)
-    return rounded6(plain(stencil.ssim_map(s.pairs(), s.side, s.side)), "ssim")
+    return rounded6(plain(stencil.ssim_map(s.pairs(), s.width, s.height)), "ssim")
 
 
 def ssim_mean(spark, sf_dir):
     s = Scene(spark, sf_dir)
-    m = stencil.ssim_map(s.pairs(), s.side, s.side)
+    m = stencil.ssim_map(s.pairs(), s.width, s.height)
     return rounded6(m.groupBy("channel").agg(F.count("*").alias("windows"), F.avg("ssim").alias("ssim")), "ssim")
 
 
 def rgb_aggregate(spark, sf_dir):
     s = Scene(spark, sf_dir)
     pairs = s.pairs()
-    planes = fidelity.mse_psnr(pairs).join(stencil.ssim_map(pairs, s.side, s.side).groupBy(*PLANE).agg(F.avg("ssim").alias("ssim")), PLANE)
+    planes = fidelity.mse_psnr(pairs).join(stencil.ssim_map(pairs, s.width, s.height).groupBy(*PLANE).agg(F.avg("ssim").alias("ssim")), PLANE)
     planes = planes.join(coding.huffman_sizes(coding.histogram(s.deltas(), "d")), PLANE)
-    got = fidelity.image_metrics(planes, s.side**2, s.config.codes * s.config.length)
-    return rounded6(plain(got), "mse", "ssim", "psnr", "cr_total", "cr_system")
+    got = fidelity.image_metrics(planes, s.width * s.height, s.config.codes * s.config.length)
+    return rounded6(plain(got), *IMAGE_METRICS)
 
 
 def equal_split_plan(spark, sf_dir):
@@ -346,8 +362,8 @@ def equal_split_plan(spark, sf_dir):
 
 
 def weighted_split_plan(spark, sf_dir):
-    """Eight workers whose speeds are the first suppliers' nation keys, plus one."""
-    speeds = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey < 8").select(F.col("n_nationkey").cast("int").alias("rank"), (F.col("n_nationkey") % 3 + 1).cast("double").alias("speed"))
+    """Every nation as a worker, whose speed follows from its key."""
+    speeds = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("int").alias("rank"), (F.col("n_nationkey") % 3 + 1).cast("double").alias("speed"))
     return partition.weighted_split(speeds, Scene(spark, sf_dir).n)
 
 
@@ -358,12 +374,17 @@ def two_codeword_psnr(spark, sf_dir):
     book = assign.split_codebook(assign.seed_codeword(v))
     labelled = written(assign.nearest(v, book))
     new = assign.update_codebook(book, assign.cell_sums(labelled))
-    return rounded6(plain(fidelity.mse_psnr(stencil.paired(s.pixels(False), blocks.decode(labelled, new, s.side)))), "mse", "psnr")
+    return rounded6(plain(fidelity.mse_psnr(stencil.paired(s.pixels(False), blocks.decode(labelled, new, s.width)))), "mse", "psnr")
 
 
 def bmp_image(spark, sf_dir):
     s = Scene(spark, sf_dir)
-    return sinks.to_bmp(s.pixels(), s.side, s.side).select("image_id", F.length("data").alias("bytes"), F.sha2("data", 256).alias("sha256"))
+    return sinks.to_bmp(s.pixels(), s.width, s.height).select("image_id", F.length("data").alias("bytes"), F.sha2("data", 256).alias("sha256"))
+
+
+def bmp_gray(spark, sf_dir):
+    s = Scene(spark, sf_dir)
+    return sinks.to_bmp(s.pixels(False), s.width, s.height).select("image_id", F.length("data").alias("bytes"), F.sha2("data", 256).alias("sha256"))
 
 
 def text_image(spark, sf_dir):
@@ -371,7 +392,24 @@ def text_image(spark, sf_dir):
     return t.select("channel", F.length("value").alias("chars"), F.sha2("value", 256).alias("sha256"))
 
 
-PLANE_METRICS = ["mse", "psnr", "ssim", "entropy_label", "entropy_delta", "cr_data", "cr_total", "cr_system", "bpp"]
+def scanned(spark: SparkSession, sf_dir: str, color: bool) -> DataFrame:
+    """The derived image, written as a text file of integers and read from it."""
+    s = Scene(spark, sf_dir)
+    path = scratch(spark)
+    sinks.write_scans(s.pixels(color), path)
+    return plain(images.scan_text(spark, path, s.width, s.height))
+
+
+def scan_text(spark, sf_dir):
+    return scanned(spark, sf_dir, False)
+
+
+def scan_text_rgb(spark, sf_dir):
+    return scanned(spark, sf_dir, True)
+
+
+PLANE_METRICS = ["mse", "psnr", "ssim", "entropy_label", "entropy_delta", "cr_data", "cr_total", "cr_system", "cr_fixed", "bpp"]
+IMAGE_METRICS = ["mse", "ssim", "psnr", "cr_system"]
 
 
 def pipeline_gray(spark, sf_dir):
@@ -383,14 +421,28 @@ def pipeline_gray(spark, sf_dir):
 def pipeline_color(spark, sf_dir):
     s = Scene(spark, sf_dir)
     whole = pipeline.images(pipeline.run(s.pixels(), s.trained), s.trained)
-    return rounded6(whole, "mse", "ssim", "psnr", "cr_total", "cr_system")
+    return rounded6(whole.drop("train_seconds"), *IMAGE_METRICS)
+
+
+def pipeline_gray_fixed(spark, sf_dir):
+    """The whole pipeline but the training: with every n-th block as codebook."""
+    s = Scene(spark, sf_dir)
+    planes = pipeline.run(s.pixels(False), s.config, s.nth).planes
+    return rounded6(planes.select("channel", "total_bytes", "roundtrip", *PLANE_METRICS), *PLANE_METRICS)
+
+
+def pipeline_color_fixed(spark, sf_dir):
+    s = Scene(spark, sf_dir)
+    whole = pipeline.images(pipeline.run(s.pixels(), s.config, s.nth), s.config)
+    return rounded6(whole.drop("image_id", "train_seconds"), *IMAGE_METRICS)
 
 
 NAMES = """two_codeword_psnr image_pixels image_pixels_rgb clamp_pixels integer_tokens detect_mode training_vectors unblock_roundtrip
 channel_recombine seed_codeword codebook_split sq_distance nearest_codeword lloyd_step lloyd_distortion empty_cell_carry lbg_codebook_small
-lbg_labels_small lbg_iterations_small lbg_distributed_small lbg_codebook lbg_labels lbg_iterations embedding_vq embedding_nearest codebook_u8
+lbg_labels_small lbg_iterations_small lbg_distributed_small lbg_codebook lbg_labels lbg_iterations embedding_vq embedding_vq_small embedding_nearest codebook_u8
 codebook_head decompress label_entropy delta_entropy delta_encode delta_decode symbol_freq used_symbols huffman_sizes huffman_event_types
 huffman_codes huffman_lengths huffman_encode huffman_roundtrip bit_offsets stream_bits roundtrip_mismatches compression_ratios bilateral_filter gaussian_window mse_psnr ssim_map ssim_mean
-rgb_aggregate equal_split_plan weighted_split_plan bmp_image text_image pipeline_gray pipeline_color""".split()
+rgb_aggregate equal_split_plan weighted_split_plan bmp_image bmp_gray text_image scan_text scan_text_rgb
+pipeline_gray pipeline_color pipeline_gray_fixed pipeline_color_fixed""".split()
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in NAMES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: tidy(globals()[n]) for n in NAMES}

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.functions.pixels import clamp
+from blockloom.operators.order import placed
 
 RGB = ("Red", "Green", "Blue")
 GRAY = "Gray"
@@ -49,6 +53,11 @@ def scan_text(spark: SparkSession, path: str, width: int, height: int, mode: str
     bad = (F.col("mode") == "unknown") | (found < need)
     message = F.concat(F.col("image_id"), F.lit(": "), found.cast("string"), F.lit(" integers do not make a "), F.lit(f"{width} x {height} image; give the mode of files of another size"))
     files = files.withColumn("tokens", F.when(bad, F.raise_error(message).cast("array<string>")).otherwise(F.slice("tokens", 1, need)))
+    return cells_of(files, width)
+
+
+def cells_of(files: DataFrame, width: int) -> DataFrame:
+    """(image_id, mode, tokens) -> (image_id, channel, y, x, v); tokens are a whole image's, of mode gray or color."""
     cells = files.select("image_id", "mode", F.posexplode("tokens").alias("pos", "token"))
     color = F.col("mode") == "color"
     pixel = F.when(color, F.floor(F.col("pos") / 3)).otherwise(F.col("pos")).cast("int")
@@ -62,28 +71,50 @@ def detect_modes(spark: SparkSession, path: str, width: int, height: int) -> Dat
     return files.withColumn("mode", mode_of(F.col("tokens"), width, height))
 
 
-def side_of(n: int) -> int:
-    """The side of the largest square image of whole 4 x 4 blocks that n pixels fill."""
-    side = 4 * (int((n**0.5) + 1e-9) // 4)
-    while (side + 4) ** 2 <= n:
-        side += 4
-    while side * side > n:
-        side -= 4
-    return side
+class Frame(NamedTuple):
+    """Size of an image in pixels, how many of them have a value of their own, and whether event_id counts these from 0 without gaps or repeats."""
+
+    width: int
+    height: int
+    filled: int
+    dense: bool = True
 
 
-def events_side(spark: SparkSession, sf_dir: str) -> int:
-    return side_of(spark.read.parquet(f"{sf_dir}/events.parquet").count())
+def frame_of(n: int, block: int = 4) -> Frame:
+    """The least image, about square and of whole blocks, that holds n pixels; one block at least."""
+    root = math.isqrt(max(0, n - 1)) + 1  # the square root, rounded up
+    width = block * -(-root // block)
+    return Frame(width, block * max(1, -(-n // (block * width))), n)
 
 
-def events_image(spark: SparkSession, sf_dir: str, *, color: bool = True, side: int | None = None) -> DataFrame:
-    """The events table as an image: event_id counts from 0 without gaps and is the pixel's place."""
-    side = events_side(spark, sf_dir) if side is None else side
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value", "user_id").where(F.col("event_id") < side * side)
+def events_frame(spark: SparkSession, sf_dir: str) -> Frame:
+    """One job; a bit an event is sent, in bitmaps, to tell whether ids are dense."""
+    i = F.col("event_id").cast("bigint")
+    bits = F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(i)))
+    parts = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.bitmap_bucket_number(i).alias("bucket")).agg(bits.alias("bits"), F.count("*").alias("n"), F.min(i).alias("low"), F.max(i).alias("high"))
+    bits, n, low, high = parts.agg(F.sum("bits"), F.coalesce(F.sum("n"), F.lit(0)), F.min("low"), F.max("high")).head()
+    return frame_of(n)._replace(dense=n == 0 or (bits == n and low == 0 and high == n - 1))
+
+
+def events_image(spark: SparkSession, sf_dir: str, *, color: bool = True, frame: Frame | None = None) -> DataFrame:
+    """The events table as an image that holds every event, in the order of event_id; pixels after the last event are 0, as are those of null values.
+
+    Where event_id counts from 0 without gaps or repeats it is the pixel's place; else places are told by sorting.
+    """
+    frame = events_frame(spark, sf_dir) if frame is None else frame
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value", "user_id")
+    if frame.dense:
+        e = e.withColumn("place", F.col("event_id"))
+    else:
+        e = placed(e, F.col("event_id").asc_nulls_first(), F.col("user_id").asc_nulls_first(), F.col("value").asc_nulls_first())
     red = clamp(F.floor("value")).cast("int")
     green = F.pmod(F.floor(F.col("value") * 7), F.lit(256)).cast("int")
     blue = F.pmod(F.col("user_id") * 37, F.lit(256)).cast("int")
-    planes = [(GRAY, red)] if not color else list(zip(RGB, (red, green, blue), strict=True))
-    each = F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), v.alias("v")) for c, v in planes))).alias("p")
-    cells = e.select((F.col("event_id") / side).cast("int").alias("y"), (F.col("event_id") % side).cast("int").alias("x"), each)
-    return cells.select(F.lit("events").alias("image_id"), "p.channel", "y", "x", "p.v")
+    valued = lambda v, of: F.when(F.col(of).isNull(), 0).otherwise(v).cast("int")
+    each = {"r": valued(red, "value"), "g": valued(green, "value"), "b": valued(blue, "user_id")}
+    rest = spark.range(frame.filled, frame.width * frame.height).select(F.col("id").alias("place"), *(F.lit(0).alias(c) for c in each))
+    e = e.select(F.col("place").cast("bigint").alias("place"), *(v.alias(c) for c, v in each.items())).unionByName(rest)
+    planes = [(GRAY, "r")] if not color else list(zip(RGB, each, strict=True))
+    cell = F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), F.col(v).alias("v")) for c, v in planes))).alias("p")
+    y, x = F.floor(F.col("place") / frame.width).cast("int"), (F.col("place") % frame.width).cast("int")
+    return e.select(y.alias("y"), x.alias("x"), cell).select(F.lit("events").alias("image_id"), "p.channel", "y", "x", "p.v")

@@ -8,25 +8,31 @@ from pyspark.sql.streaming import StreamingQuery
 
 from blockloom.plans import pipeline
 from blockloom.plans.config import VQConfig
-from blockloom.sources.images import GRAY, integer_prefix, token_value
+from blockloom.plans.tables import written
+from blockloom.sources.images import cells_of, integer_prefix, mode_of
 
 
-def gray_cells(files: DataFrame, width: int, height: int) -> DataFrame:
-    """(image_id, value: the text) -> pixels of files with at least a gray image's integers; shorter files give none."""
-    n = width * height
-    t = files.select("image_id", integer_prefix(F.col("value")).alias("tokens")).where(F.size("tokens") >= n)
-    cells = t.select("image_id", F.posexplode(F.slice("tokens", 1, n)).alias("pos", "token"))
-    return cells.select("image_id", F.lit(GRAY).alias("channel"), F.floor(F.col("pos") / width).cast("int").alias("y"), (F.col("pos") % width).alias("x"), token_value(F.col("token")).alias("v"))
+def with_mode(files: DataFrame, width: int, height: int) -> DataFrame:
+    """(image_id, value: the text) -> (image_id, tokens, mode): gray, color or unknown, by the number of integers."""
+    t = files.select("image_id", integer_prefix(F.col("value")).alias("tokens"))
+    return t.withColumn("mode", mode_of(F.size("tokens"), width, height))
 
 
-def metrics_stream(spark: SparkSession, source: str, target: str, checkpoint: str, config: VQConfig) -> StreamingQuery:
-    """Write each new image's metrics to a Parquet folder; a batch that is run again replaces its own folder."""
+def metrics_stream(spark: SparkSession, source: str, target: str, checkpoint: str, config: VQConfig, errors: str | None = None) -> StreamingQuery:
+    """Write each new image's metrics, a row a plane, to a Parquet folder, and files that are neither a gray nor a color image to another.
+
+    The latter, `errors` (by default `target` with _errors), gets image_id and the number of integers. A batch that is run again replaces its own folders.
+    """
+    errors = errors or f"{target.rstrip('/')}_errors"
     files = spark.readStream.format("text").option("wholetext", True).schema("value string").load(source)
     files = files.select(F.col("_metadata.file_path").alias("image_id"), "value")
 
     def batch(rows: DataFrame, number: int) -> None:
-        cells = gray_cells(rows, config.width, config.height)
-        if cells.limit(1).count():
-            pipeline.run(cells, config).planes.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        read = written(with_mode(rows, config.width, config.height))
+        bad = read.where("mode = 'unknown'").select("image_id", F.size("tokens").alias("tokens"))
+        bad.write.mode("overwrite").parquet(f"{errors}/batch={number}")
+        good = read.where("mode <> 'unknown'")
+        if not good.limit(1).isEmpty():
+            pipeline.run(cells_of(good, config.width), config).planes.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
