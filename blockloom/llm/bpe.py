@@ -34,15 +34,32 @@ def printable_bytes() -> dict[str, int]:
     return {chr(b): b for b in keep} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def checked(j: dict) -> None:
+    """Raises ValueError for a vocabulary that asks for anything but plain byte-level BPE."""
+    model, parts, decoder = j["model"], j.get("pre_tokenizer") or {}, j.get("decoder") or {}
+    asked = {f"model.{k}": model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)}
+    asked |= {"normalizer": j["normalizer"]} if j.get("normalizer") else {}
+    if model.get("type", "BPE") != "BPE":
+        asked["model.type"] = model["type"]
+    if parts.get("type") != "ByteLevel" or parts.get("add_prefix_space") or not parts.get("use_regex", True):
+        asked["pre_tokenizer"] = parts
+    if decoder.get("type") != "ByteLevel":
+        asked["decoder"] = decoder
+    asked |= {a["content"]: a for a in j.get("added_tokens", ()) if a.get("single_word") or a.get("lstrip") or a.get("rstrip")}
+    if asked:
+        raise ValueError(f"not plain byte-level BPE: {asked}")
+
+
 class Bpe:
-    """A byte-level BPE vocabulary: encode(text) -> ids, decode(ids) -> text."""
+    """A byte-level BPE vocabulary: encode(text) -> ids, decode(ids) -> text. Others are refused."""
 
     def __init__(self, spec: str):
         j = json.loads(spec)
+        checked(j)
         byte_of = printable_bytes()
         raw = lambda token: bytes(byte_of[c] for c in token)
         vocab = {raw(t): i for t, i in j["model"]["vocab"].items()}
-        self.special = {a["content"]: a["id"] for a in j["added_tokens"]}
+        self.special = {a["content"]: a["id"] for a in j.get("added_tokens", ())}
         size = 1 + max([*vocab.values(), *self.special.values()])
         self.strings: list[bytes] = [b""] * size
         for t, i in vocab.items():
@@ -124,8 +141,10 @@ def bpe_encode_decode(docs: DataFrame, spec: str, *, id_col: str = "doc_id", tex
     (array of int) and decoded (string). Null and empty texts have no tokens and decode to the
     empty text; null ids stay null; repeated rows repeat; other columns are not looked at, whatever
     their names. No shuffle: each task reads its own split, and a lost task is simply run again.
-    The vocabulary is broadcast; its size is that of its file.
+    The vocabulary is broadcast; its size is that of its file; one that is not plain byte-level BPE is refused. Ids of rows are whole
+    numbers (else the cast fails). A task holds some hundred bytes for each byte of its longest piece (a run of letters, digits or signs).
     """
+    checked(json.loads(spec))
     sent = docs.sparkSession.sparkContext.broadcast(spec)
     columns = [("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     if keep_ids:

@@ -1,12 +1,8 @@
-"""What the text operators share: word hashes, flat numpy views of a batch, and tables written between jobs."""
+"""What the text operators share: word hashes, flat numpy views of a batch, and, from the core, tables written between jobs."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from typing import TypeVar
 
@@ -17,6 +13,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockloom.plans.tables import fits, scratch, tidy, written
+
+__all__ = ["as_bytes", "documents", "fits", "fresh", "hashed", "mixed", "remembered", "rolling", "scratch", "slices", "split_words", "tidy", "written"]
+
 T = TypeVar("T")
 
 #: Rows of text handled at a time inside an Arrow batch, and bytes after which a slice ends early.
@@ -123,36 +123,16 @@ def rolling(words: np.ndarray, width: int, base: int = BASE) -> np.ndarray:
     return mixed(out)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share; only where none is set, as in tests, a local one. It goes when the program ends."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.gettempdir()}/blockloom-scratch"
-    path = f"{root.rstrip('/')}/blockloom-{uuid.uuid4().hex}"
-    atexit.register(removed, spark, path)
-    return path
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the cluster may be gone by now
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The same rows from Parquet in the shared folder: no executor has to compute them again."""
-    spark, path = df.sparkSession, scratch(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def as_bytes(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string").cast("binary")
 
 
-def fits(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most so many rows; looks at no more than one row beyond."""
-    return df.limit(rows + 1).count() <= rows
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

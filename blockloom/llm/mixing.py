@@ -4,9 +4,11 @@ Each source has a target number of words. Its ratio to the source's size, at mos
 into whole copies, which every document gets for certain, and a rest. The rest is a sample of fixed
 size (in words) with unequal probabilities: documents stand in the order of random odds u / (1 - u)
 divided by inclusion odds, which are in proportion to their sizes, and the first are taken until
-the rest is reached. DataFrame functions only.
+the rest is reached. So a document of `size` words is in the sample with probability
+c * size / (1 + c * size), with the one c of its source at which the sample has the words it should: long texts are likelier. DataFrame functions only.
 
-No task sees a source as a whole. Orders are cut into bands by rank value; the words of each source
+No task sees a source as a whole. Orders are cut into bands of equal ratio of the rank value; whatever the sizes, a band
+holds less than ln(2) / (4 * BANDS) of a source's documents, expected. The words of each source
 and band are summed with map-side combining, which shows the one band in which a source's
 sample ends. Only documents of those bands are sorted.
 """
@@ -16,12 +18,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, fits, written
+from blockloom.operators.order import placed
 
-#: Bands of the order of each source; the last band of a sample holds about one document in so many.
-BANDS = 4096
+from .common import documents, fits, tidy, written
+
+#: Bands of the order for each doubling of the rank value.
+BANDS = 1024
 #: The most sources whose plan is broadcast; that of more is joined.
 BROADCAST_SOURCES = 100_000
+#: The most sources that one task puts in order; targets of more come from sums over all of them, again and again.
+SORTED_SOURCES = 200_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -31,17 +37,23 @@ def uniform(seed: int, *columns: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+def weight_of(n: Column, weights: tuple[float, ...]) -> Column:
+    """The weight of the n-th source, from 0."""
+    return F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (n % len(weights) + 1).cast("int"))
+
+
 def targets(sizes: DataFrame, most: float, weights: tuple[float, ...]) -> DataFrame:
     """(source, source_size) -> also weight and target.
 
     Targets are least(most * source_size, t * weight) with the one t at which they add up to all
     sizes; that is where resharing the excess by weight ends. Sources reach their limits in the order of
-    limit / weight, so t follows from running sums in that order: one row a source, in one task.
+    limit / weight, so t follows from running sums in that order: one row a source, in one task, if they are at most SORTED_SOURCES.
     """
+    sizes = written(sizes)
+    if not fits(sizes, SORTED_SOURCES):
+        return targets_of_many(sizes, most, weights)
     order = Window.orderBy(F.col("source").asc_nulls_last())
-    n = F.row_number().over(order)
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), ((n - 1) % len(weights) + 1).cast("int"))
-    s = sizes.withColumn("weight", weight).withColumn("most", F.lit(float(most)) * F.col("source_size"))
+    s = sizes.withColumn("weight", weight_of(F.row_number().over(order) - 1, weights)).withColumn("most", F.lit(float(most)) * F.col("source_size"))
     full = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
     before, rest = full.rowsBetween(Window.unboundedPreceding, -1), full.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     everything = Window.partitionBy(F.lit(0))
@@ -52,13 +64,29 @@ def targets(sizes: DataFrame, most: float, weights: tuple[float, ...]) -> DataFr
     return s.select("source", "source_size", "weight", F.least(F.col("most"), F.col("t") * F.col("weight")).alias("target"))
 
 
+def targets_of_many(sizes: DataFrame, most: float, weights: tuple[float, ...]) -> DataFrame:
+    """The same targets by resharing: t rises until no further source is at its limit; each step is one sum over all sources."""
+    s = placed(sizes, F.col("source").asc_nulls_last()).withColumn("weight", weight_of(F.col("place"), weights)).withColumn("most", F.lit(float(most)) * F.col("source_size"))
+    s = written(s.drop("place"))
+    total, t, at_limit = float(s.agg(F.sum("source_size")).head()[0] or 0), 0.0, -1
+    while True:
+        full = F.col("most") <= F.lit(t) * F.col("weight")
+        n, filled, open_ = s.agg(F.count_if(full), F.sum(F.when(full, F.col("most"))), F.sum(F.when(~full, F.col("weight")))).head()
+        if n == at_limit or not open_:
+            break
+        at_limit, t = n, (total - (filled or 0.0)) / open_
+    return s.select("source", "source_size", "weight", F.least(F.col("most"), F.lit(t) * F.col("weight")).alias("target"))
+
+
+@tidy
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: float = 3.0, weights: tuple[float, ...] = (1.0, 2.0, 3.0), seed: int = 9, keep_text: bool = False) -> DataFrame:
     """Choose how often each document goes into a mix in which sources have the targets of `targets`.
 
     Returns id, size (words), source_size, target, taken (words, repeats counted), copies, and with
     keep_text the input's columns instead of size and taken. A null text has size 0; a null source is a source of its own, the last; documents of
-    size 0 get the whole copies of their source and never the rest. Rows that repeat in every column have
-    the same rank and are taken in one after another; an empty table gives none. Other columns are
+    size 0 get the whole copies of their source and never the rest. Rows that share an id have the same draw; of those that share the size, too,
+    the hash of the whole row tells which comes first with keep_text, and without it they give equal rows but for `taken` and `copies`. So reruns agree.
+    An empty table gives none. Ids may be null and of any type that has a text form. Other columns are
     not looked at. A source's taken words differ from its target by half of one document at most.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
@@ -66,8 +94,8 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     d = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), *kept)
     u = uniform(seed, F.col("id"))
     d = d.withColumn("q", F.when(F.col("size") > 0, (u / (1 - u)) / F.col("size")))
-    # q from 0 to infinity, to bands of the sorted order: about evenly filled for usual sizes
-    d = d.withColumn("band", F.floor(F.lit(float(BANDS)) * (F.col("q") * 1000 / (1 + F.col("q") * 1000))).cast("int"))
+    # The logarithm of random odds has a density below 1/4, and sizes only shift it.
+    d = d.withColumn("band", F.floor(F.lit(float(BANDS)) * F.log2("q")).cast("int"))
     slim = written(d.select("id", "source", "size", "q", "band"))
     d = d if keep_text else slim
     bands = slim.groupBy("source", "band").agg(F.sum("size").alias("words"))
@@ -86,7 +114,9 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     # A target of all words has no band in which it ends.
     d = d.withColumn("sure", F.when(F.col("band").isNull() | (F.col("rest") <= 0), 0).when(F.col("end_band").isNull(), 1).otherwise(inside))
     edge = d.where("sure is null")
-    ranked = Window.partitionBy("source", "band").orderBy("q", "id").rowsBetween(Window.unboundedPreceding, -1)
+    # Rows that tie in all else are told apart by what they hold.
+    tie = [F.xxhash64(F.to_json("row"))] if keep_text else []
+    ranked = Window.partitionBy("source", "band").orderBy("q", "id", *tie).rowsBetween(Window.unboundedPreceding, -1)
     middle = F.col("before") + F.coalesce(F.sum("size").over(ranked), F.lit(0)) + F.col("size") / 2
     both = d.where("sure is not null").unionByName(edge.withColumn("sure", F.when(middle <= F.col("rest"), 1).otherwise(0)))
     copies = (F.col("whole") + F.col("sure")).cast("long")

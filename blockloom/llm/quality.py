@@ -158,17 +158,17 @@ def held_out(c: str, folds: int, fold: int):
 def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, fold: int = 2, rows: int = TRAIN_ROWS) -> Trees:
     """Trees from at most `rows` labelled ids outside the held-out fold, chosen by a hash of the id.
 
-    Null labels and ids teach nothing; an id with several labels counts once, with the largest. Only
-    the chosen documents' statistics come to the driver.
+    Null labels and ids teach nothing; an id with several labels counts once, with the largest; rows that repeat an id teach once, by
+    the least of their statistics. Only statistics of the chosen ids come to the driver, a row each.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col, folds, fold))
     known = known.groupBy(F.col(id_col).cast("long").alias("j")).agg(F.max((F.col(label_col) == 1).cast("int")).alias("y"))
     chosen = known.orderBy(F.xxhash64("j"), "j").limit(rows)
     d = docs.select(F.col(id_col).cast("long").alias("i"), as_bytes(text_col).alias("t")).join(F.broadcast(chosen), F.col("i") == F.col("j")).select("i", "t", "y")
-    got = scored(d, None).toArrow()
+    got = scored(d, None).groupBy("i").agg(F.min(F.struct("x", "y")).alias("m")).select("i", "m.x", "m.y").toArrow()
     x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES)) if got.num_rows else np.zeros((0, len(FEATURES)), np.float32)
     i, y = got["i"].to_numpy(), got["y"].to_numpy().astype(np.float64)
-    order = np.lexsort((*x.T, i))[: 2 * rows]  # the same order in every run; rows that repeat an id beyond twice the bound teach nothing
+    order = np.lexsort((*x.T, i))  # the same order in every run
     return fit(x[order], y[order])
 
 

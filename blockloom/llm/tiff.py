@@ -28,7 +28,7 @@ PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FO
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 FIELD_TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 13: "I"}
 
-#: The most bytes that one page may unpack to; a larger one is an error, not a dead executor.
+#: The most bytes that one page may unpack to; a larger one is an error, not a dead executor. Unpacking stops at the size that a strip or tile should have.
 MAX_PAGE_BYTES = 1 << 30
 
 
@@ -45,10 +45,10 @@ class Page:
     pixels: bytes
 
 
-def unpack_bits(data: bytes) -> bytes:
-    """PackBits: n < 128: n + 1 literal bytes follow; n > 128: the next byte, 257 - n times; 128: nothing."""
+def unpack_bits(data: bytes, most: int = MAX_PAGE_BYTES) -> bytes:
+    """PackBits: n < 128: n + 1 literal bytes follow; n > 128: the next byte, 257 - n times; 128: nothing. Stops at `most` bytes, about."""
     out, i, n = bytearray(), 0, len(data)
-    while i < n:
+    while i < n and len(out) < most:
         head = data[i]
         if head < 128:
             out += data[i + 1 : i + 2 + head]
@@ -79,9 +79,9 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_lzw(data: bytes) -> bytes:
-    """LZW, most significant bit first; 256 clears the table, 257 ends; widths of 9 to 12 bits, raised one code early."""
-    out, table, width, held, bits, last = [], [], 9, 0, 0, b""
+def unpack_lzw(data: bytes, most: int = MAX_PAGE_BYTES) -> bytes:
+    """LZW, most significant bit first; 256 clears the table, 257 ends; widths of 9 to 12 bits, raised one code early. Stops at `most` bytes, about."""
+    out, table, width, held, bits, last, size = [], [], 9, 0, 0, b"", 0
     base = [bytes([i]) for i in range(256)] + [b"", b""]
     for byte in data:
         held, bits = held << 8 | byte, bits + 8
@@ -101,6 +101,7 @@ def unpack_lzw(data: bytes) -> bytes:
                 raise ValueError("LZW: a string before any byte")
             last = table[code]
             out.append(last)
+            size += 1
             continue
         if code < len(table):
             now = table[code]
@@ -108,11 +109,15 @@ def unpack_lzw(data: bytes) -> bytes:
             now = last + last[:1]
         else:
             raise ValueError("LZW: a code beyond the table")
-        table.append(last + now[:1])
+        if len(table) < 4096:  # no code reaches further
+            table.append(last + now[:1])
         out.append(now)
+        size += len(now)
+        if size >= most:
+            break
         last = now
-        if (size := len(table) + 1) >= 512 and width < 12:
-            width = min(12, max(width, size.bit_length()))
+        if (codes := len(table) + 1) >= 512 and width < 12:
+            width = min(12, max(width, codes.bit_length()))
     return b"".join(out)
 
 
@@ -201,6 +206,9 @@ def undo_predictor(rows: np.ndarray, predictor: int, bits: int, samples: int, or
 
 
 def page(data: bytes, order: str, tags: dict[int, tuple]) -> Page:
+    for tag in (WIDTH, HEIGHT, BITS, COMPRESSION, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS):
+        if not all(isinstance(x, int) and x >= 0 for x in tags.get(tag, ())):
+            raise ValueError(f"field {tag} holds no whole numbers")
     one = lambda tag, default=None: tags[tag][0] if tags.get(tag) else default
     width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
     bits, compression, predictor = one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)
@@ -235,9 +243,9 @@ def page(data: bytes, order: str, tags: dict[int, tuple]) -> Page:
         if compression in (DEFLATE, OLD_DEFLATE):
             raw = inflate(raw, row * high)
         elif compression == LZW:
-            raw = unpack_lzw(raw)
+            raw = unpack_lzw(raw, row * high)
         elif compression == PACKBITS:
-            raw = unpack_bits(raw)
+            raw = unpack_bits(raw, row * high)
         elif compression != NONE:
             raise ValueError(f"compression {compression} is not known")
         if len(raw) < row * high:
@@ -254,10 +262,17 @@ def page(data: bytes, order: str, tags: dict[int, tuple]) -> Page:
 
 
 def read_pages(data: bytes) -> list[Page]:
+    """Every page; ValueError for a file that is broken, or whose pages unpack to more than MAX_PAGE_BYTES in all."""
+    pages, held = [], 0
     try:
-        return [page(data, order, tags) for order, tags in directories(data)]
+        for order, tags in directories(data):
+            pages.append(page(data, order, tags))
+            held += len(pages[-1].pixels)
+            if held > MAX_PAGE_BYTES:
+                raise ValueError("pages of more than MAX_PAGE_BYTES in all")
     except (struct.error, zlib.error, IndexError) as e:
         raise ValueError(f"a broken file: {e}") from e
+    return pages
 
 
 def write_tiff(images: list[np.ndarray], *, compression: int = DEFLATE, predictor: int = 2, rows: int = 64, tile: tuple[int, int] | None = None, order: str = "<", level: int = 1) -> bytes:
@@ -309,8 +324,9 @@ def tiff_pages(df: DataFrame, *, id_col: str = "doc_id", media_col: str = "media
     """One row per page of every file of a binary column, in order: id, page (from 0), width,
     height, samples, bits, compression, predictor, pixels (binary), error.
 
-    A null, empty or broken file gives one row with page null and the reason in error; pages of a
-    broken file are not given in part. Ids may be null or repeat; other columns are not looked at.
+    A null, empty or broken file, one with a page of more than MAX_PAGE_BYTES and one of a coding that is not known
+    give one row with page null and the reason in error; pages of such a
+    file are not given in part. Ids are whole numbers (else the cast fails), and may be null or repeat; other columns are not looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -53,3 +53,13 @@ def test_nulls_repeats_and_clashing_names(spark):
     assert [g[:2] for g in got] == [(1, 0), (1, 0), (2, 2), (2, 2), (None, 2)]
     assert got[0][2:] == (empty, empty) and got[2] == got[3] and got[2][1:] == got[4][1:]
     assert bpe_encode_decode(d.limit(0), vocabulary()).collect() == []
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"decoder": None}, {"added_tokens": [{"id": 1, "content": "x", "lstrip": True}]}, {"model": {"ignore_merges": True}}, {"model": {"type": "Unigram"}}])
+def test_other_vocabularies_are_refused(spark, change):
+    import json
+
+    spec = json.loads(vocabulary())
+    model = spec["model"] | change.pop("model", {})
+    with pytest.raises(ValueError, match="not plain"):
+        bpe_encode_decode(spark.createDataFrame([(1, "a")], "doc_id long, text string"), json.dumps(spec | change | {"model": model}))

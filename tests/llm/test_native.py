@@ -120,3 +120,47 @@ def test_rows_are_kept_with_their_copies(spark):
     assert {r.row.doc_id: r.copies for r in mixing.mix_sources(d, keep_text=True).collect()} == want
     plan = mixing.mix_sources(d)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_inclusion_probabilities(spark):
+    """Sources as repeated draws: a document of size s is in the sample with probability c s / (1 + c s)."""
+    sizes = [1, 2, 4, 8, 16, 32] * 4
+    rows = [(r * 100 + k, "w " * n, f"s{r:04}") for r in range(600) for k, n in enumerate(sizes)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(d).where("source_size <> target").groupBy("size", (F.col("target") / F.col("source_size")).alias("share")).agg(F.avg(F.col("copies") - F.floor(F.col("target") / F.col("source_size"))).alias("rate"), F.count("*").alias("n")).collect()
+    assert sorted({round(r.share, 6) for r in got}) == [0.5, 1.5] and len(got) == 12
+    low, high = 1e-6, 1e6
+    for _ in range(200):
+        c = (low * high) ** 0.5
+        words = sum(c * s * s / (1 + c * s) for s in sizes)
+        low, high = (c, high) if words < sum(sizes) / 2 else (low, c)
+    for r in got:
+        p = c * r["size"] / (1 + c * r["size"])
+        # the sample ends at a whole document, which moves the rate a little
+        assert abs(r.rate - p) < 4 * (p * (1 - p) / r.n) ** 0.5 + 0.04
+
+
+@pytest.mark.parametrize("sizes", ["1", "1000000", "if(id % 10 = 0, 1000000, 1)", "pow(10, id % 7)"])
+def test_bands_are_evenly_small(spark, sizes):
+    u = mixing.uniform(9, F.col("id"))
+    bands = spark.range(200_000).select(F.floor(mixing.BANDS * F.log2(u / (1 - u) / F.expr(sizes))).alias("band")).groupBy("band").count()
+    assert bands.agg(F.max("count")).head()[0] < 100  # 34 expected at most
+
+
+def test_targets_of_many_sources(spark, monkeypatch):
+    rows = [(f"s{k:03}" if k else None, (k * 37 % 91) ** 3) for k in range(200)]
+    sizes = spark.createDataFrame(rows, "source string, source_size long")
+    want = {r.source: (r.weight, r.target) for r in mixing.targets(sizes, 3.0, (1.0, 2.0, 3.0)).collect()}
+    monkeypatch.setattr(mixing, "SORTED_SOURCES", 5)
+    got = {r.source: (r.weight, r.target) for r in mixing.targets(sizes, 3.0, (1.0, 2.0, 3.0)).collect()}
+    assert got.keys() == want.keys()
+    for k, (weight, target) in got.items():
+        assert weight == want[k][0] and target == pytest.approx(want[k][1], rel=1e-9)
+    assert mixing.targets(sizes.limit(0), 3.0, (1.0, 2.0)).collect() == []
+
+
+def test_ties_are_the_same_in_every_run(spark):
+    rows = [(k // 8, f"a b c{k}", "s" if k % 3 else "t") for k in range(240)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    a, b = (sorted(map(str, mixing.mix_sources(x, keep_text=True).collect())) for x in (d, d.repartition(5, "text")))
+    assert a == b

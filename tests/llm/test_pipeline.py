@@ -88,3 +88,15 @@ def test_run_is_the_stages_in_turn(spark, tmp_path):
     got = corpus_pipeline.run(spark, f"file://{tmp_path}")
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert got.select(F.count("*"), F.count_distinct("doc_id")).head()[1] > 20
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["gone", "again", "kept", "_gone", "n", "__kept", "__gone", "row", "i", "t", "sure", "q", "band", "J", "s"]
+    rows = [(k, f"{k % 7} one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen {k % 7}", "en", "ab"[k % 2], 5) for k in range(20)]
+    d = spark.createDataFrame([*rows, rows[0], (None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(c) for c in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, d, SF)
+        assert got.columns == d.columns
+        for r in got.collect():
+            assert all(r[c] == c for c in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, d, SF).count() == d.count()

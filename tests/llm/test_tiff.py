@@ -98,3 +98,37 @@ def test_texts_come_back(spark):
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
     assert got[6][1:] == got[7][1:] and got[6].n_pages == 3 and got[2][1:] == got[None][1:]
     assert tiff.tiff_round_trip(d.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(("tag", "kind", "value"), [(256, 2, 6), (257, 11, 6), (258, 12, 8), (277, 5, 8), (273, 2, 8), (279, 11, 30), (317, 2, 1), (278, 9, 0xFFFFFFFF), (256, 3, 0), (258, 3, 7), (259, 3, 77)])
+def test_fields_of_the_wrong_kind_are_errors(spark, tag, kind, value):
+    tags = {256: (3, 6), 257: (3, 5), 258: (3, 8), 259: (3, 1), 273: (4, 8), 277: (3, 1), 278: (3, 5), 279: (4, 30)} | {tag: (kind, value)}
+    data = file_of("<", [(t, k, v) for t, (k, v) in tags.items()], bytes(30))
+    with pytest.raises(ValueError):
+        tiff.read_pages(data)
+
+
+def test_a_bad_file_costs_a_row_and_not_the_job(spark):
+    tags = [(256, 2, 6), (257, 3, 5), (273, 4, 8), (279, 4, 30)]
+    d = spark.createDataFrame([(1, file_of("<", tags, bytes(30))), (2, tiff.write_tiff([np.ones((2, 2), np.uint8)]))], "doc_id long, media binary")
+    got = {r.doc_id: r for r in tiff.tiff_pages(d).collect()}
+    assert got[1].page is None and "256" in got[1].error and got[2].page == 0 and got[2].error is None
+
+
+def test_unpacking_stops_at_the_size_of_a_strip():
+    bomb = tiff.pack_lzw(bytes(20_000_000))
+    assert len(bomb) < 20_000 and 5000 <= len(tiff.unpack_lzw(bomb, 5000)) < 5000 + 4096
+    assert 5000 <= len(tiff.unpack_bits(tiff.pack_bits(bytes(1_000_000)), 5000)) < 5000 + 128
+    tags = [(256, 3, 50), (257, 3, 100), (258, 3, 8), (259, 3, 5), (273, 4, 8), (278, 3, 100), (279, 4, len(bomb))]
+    (page,) = tiff.read_pages(file_of("<", tags, bomb))
+    assert page.pixels == bytes(5000)
+
+
+def test_feature_against_plain_loops():
+    for text in (b"", b"a" * 10, bytes(range(256)) * 9):
+        payload = text + b"\xff" * (-len(text) % 576 if text else 576)
+        size = len(payload) // 64
+        means = [sum(payload[k * size : (k + 1) * size]) / size for k in range(64)]
+        whole = sum(means) / 64
+        bits = "".join(str(int(m > whole)) for m in means)
+        assert tiff.average_hash(payload) == f"{int(bits, 2):016x}"
