@@ -9,50 +9,69 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.llm import bpe, jaccard, mixing, quality, substr
-from blockloom.llm.common import documents, fits, written
+from blockloom.llm.common import documents, fits, fresh, tidy, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject, rows as they are.
+
+    Null and empty texts are scored like any text, as ones without words; rows without an id are judged, too; repeated
+    rows are judged alike; an empty table gives none. Extra columns stay, whatever their names.
+    """
     model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.classify_quality(docs, model, keep_row=True).where("predicted = 1").select("row.*")
 
 
+@tidy
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies.
+    """The document with the smallest id of each group of near copies, rows as they are.
 
-    Documents without an id stay; of rows that repeat an id and its text, one stays.
+    Documents without an id stay, as do those whose text is null or has no words; of rows that repeat an id and its text, one stays.
+    An empty table gives none. Extra columns stay, whatever their names.
     """
+    gone, again = fresh(docs, "gone"), fresh(docs, "again")
     found = written(jaccard.jaccard_components(docs))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    gone = F.broadcast(gone) if fits(gone, jaccard.BROADCAST_IDS) else gone
-    kept = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
-    again = found.groupBy(F.col("doc_id").alias("again")).agg(F.count("*").alias("n")).where("again is not null and n > 1").select("again")
-    if not again.limit(1).count():
+    lost = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    lost = F.broadcast(lost) if fits(lost, jaccard.BROADCAST_IDS) else lost
+    kept = docs.join(lost, F.col("doc_id") == F.col(gone), "left_anti")
+    twice = found.groupBy(F.col("doc_id").alias(again)).agg(F.count("*").alias("n")).where((F.col("n") > 1) & F.col(again).isNotNull()).select(again)
+    if not twice.limit(1).count():
         return kept
-    again = F.broadcast(written(again)) if fits(again, jaccard.BROADCAST_IDS) else written(again)
-    on = F.col("doc_id") == F.col("again")
-    return kept.join(again, on, "left_anti").unionByName(kept.join(again, on, "left_semi").dropDuplicates(["doc_id", "text"]))
+    twice = written(twice)
+    twice = F.broadcast(twice) if fits(twice, jaccard.BROADCAST_IDS) else twice
+    on = F.col("doc_id") == F.col(again)
+    return kept.join(twice, on, "left_anti").unionByName(kept.join(twice, on, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the windows that documents with smaller ids have; a text that loses nothing stays as it is."""
-    cut = substr.dedup_substrings(docs, keep_row=True).select("row.*", F.col("kept").alias("__kept"), F.col("n_removed").alias("__gone"))
-    text = F.when(F.col("__gone") > 0, F.col("__kept")).otherwise(F.col("text"))
-    cut = cut.withColumn("text", text)
+    """Texts without the windows that documents with smaller ids have; a text that loses nothing stays as it is.
+
+    Null, empty and short texts and rows without an id lose nothing; rows that share an id don't count against each other. Every
+    row stays, also one whose text loses all. Extra columns stay, whatever their names; n_chars, if it is one, follows the text.
+    """
+    kept, gone = fresh(docs, "kept"), fresh(docs, "gone")
+    cut = substr.dedup_substrings(docs, keep_row=True).select("row.*", F.col("kept").alias(kept), F.col("n_removed").alias(gone))
+    cut = cut.withColumn("text", F.when(F.col(gone) > 0, F.col(kept)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("__gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+        cut = cut.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return cut.select(*(f"`{c}`" for c in docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it, rows as they are.
+
+    Null and empty texts have no words and are taken as often as whole copies of their source are; a null source is one of its own. An
+    empty table gives none. Extra columns stay, whatever their names.
+    """
     chosen = mixing.mix_sources(docs, keep_text=True)
     return chosen.select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document of the mix."""
+    """Token counts and digests of every document of the mix: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    Null and empty texts have no tokens; ids may be null or repeat; an empty table gives none. Other columns are not looked at.
+    """
     return bpe.bpe_encode_decode(docs, bpe.vocabulary())
 
 
@@ -68,6 +87,7 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@tidy
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
