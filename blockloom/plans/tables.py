@@ -13,8 +13,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: For each tidy call under way, the tables written in it.
-under_way = threading.local()
+#: For each thread, the tables written in each of its tidy calls under way.
+under_way: dict[int, list[list[str]]] = {}
 
 
 def removed(spark: SparkSession, path: str) -> None:
@@ -40,8 +40,8 @@ def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder, which goes when the program ends."""
     path = f"{shared_folder(spark)}/blockloom-{uuid.uuid4().hex}"
     atexit.register(removed, spark, path)
-    if getattr(under_way, "calls", None):
-        under_way.calls[-1].append((spark, path))
+    if calls := under_way.get(threading.get_ident()):
+        calls[-1].append(path)
     return path
 
 
@@ -73,20 +73,19 @@ def tidy(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
     @functools.wraps(f)
     def run(*args, **options) -> DataFrame:
-        if not hasattr(under_way, "calls"):
-            under_way.calls = []
-        made: list[tuple[SparkSession, str]] = []
-        under_way.calls.append(made)
+        calls = under_way.setdefault(threading.get_ident(), [])
+        made: list[str] = []
+        calls.append(made)
         try:
             out = f(*args, **options)
         finally:
-            under_way.calls.pop()
+            calls.pop()
         used = read_by(out)
-        for spark, path in made:
+        for path in made:
             if path.rsplit("/", 1)[-1] not in used:
-                removed(spark, path)
-            elif under_way.calls:
-                under_way.calls[-1].append((spark, path))
+                removed(out.sparkSession, path)
+            elif calls:
+                calls[-1].append(path)
         return out
 
     return run
