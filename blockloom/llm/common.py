@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from blockloom.plans.tables import fits, scratch, tidy, written
 
-__all__ = ["as_bytes", "documents", "fits", "fresh", "hashed", "mixed", "remembered", "rolling", "scratch", "slices", "split_words", "tidy", "written"]
+__all__ = ["BASE", "as_bytes", "documents", "fits", "fresh", "hashed", "mixed", "remembered", "rolling", "scratch", "slices", "split_words", "tidy", "written"]
 
 T = TypeVar("T")
 

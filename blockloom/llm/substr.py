@@ -7,8 +7,8 @@ Three jobs, none of which sends every window over the network:
 1. Each window is represented by its minimizer, the smallest hash of the 5-word runs inside it. Equal
    windows have equal minimizers and about one window in five has a new one, so counting documents
    for each minimizer moves a fifth of the rows. Those in several documents set bits in a bitmap of
-   fixed size. As it fills up at larger sizes, it lets more windows through, never fewer.
-2. Windows whose minimizer has its bit set are counted by their own hash: each task sends the smallest
+   a size that follows their number, up to a bound. As it fills up beyond that, it lets more windows through, never fewer.
+2. Windows whose minimizer has its bit set are counted by two hashes of their own, 96 bits in all: each task sends the smallest
    document of each hash once, so that a passage that a third of all documents share costs one row
    a task; its other documents in that task are already known to lose it.
 3. What each document loses is joined to its text by id.
@@ -25,11 +25,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, documents, hashed, rolling, slices, split_words
+from .common import BASE, as_bytes, documents, hashed, rolling, slices, split_words, tidy, written
 
 WIDTH, GRAM = 13, 5
-#: Two to this many bits in the bitmap of shared minimizers (16 MB), sent in pieces of 2**SEGMENT bits.
-BITMAP, SEGMENT = 27, 20
+#: The bitmap of shared minimizers has 16 bits for each, between these powers of two (128 kB to 64 MB), and is sent in pieces of 2**SEGMENT bits.
+LEAST_BITS, MOST_BITS, SEGMENT = 20, 29, 20
+#: Base of the second polynomial of a window. With it a window is known by 96 bits: of the 1.4e26 pairs that 100 TB of text hold, 0.002 are expected to meet.
+SECOND = 0xD1342543DE82EF95
 #: Windows that a task holds before it sends them.
 HELD = 1_500_000
 
@@ -105,8 +107,9 @@ def shared_minimizers(d: DataFrame, width: int, gram: int) -> DataFrame:
 
 
 def bitmap(keys: DataFrame, column: str) -> np.ndarray:
-    """2**BITMAP bits: those at the first BITMAP bits of the keys. Comes to the driver in pieces of a fixed total size."""
-    bit = F.shiftrightunsigned(F.col(column), 64 - BITMAP)
+    """A bit for each value of the first bits of the keys, as bytes. Comes to the driver in pieces of a bounded total size."""
+    size = bits_for(keys.count())
+    bit = F.shiftrightunsigned(F.col(column), 64 - size)
     bits = keys.select(bit.alias("bit")).withColumn("segment", F.shiftright("bit", SEGMENT).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,39 +124,43 @@ def bitmap(keys: DataFrame, column: str) -> np.ndarray:
         for s, flags in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(flags).tobytes()])], names=["segment", "bits"])
 
-    out = np.zeros(1 << (BITMAP - 3), np.uint8)
+    out = np.zeros(1 << (size - 3), np.uint8)
     step = 1 << (SEGMENT - 3)
     for s, part in bits.repartition("segment").mapInArrow(run, "segment int, bits binary").toLocalIterator():
         out[s * step : (s + 1) * step] = np.frombuffer(part, np.uint8)
     return out
 
 
+def bits_for(keys: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, (16 * keys).bit_length()))
+
+
 def has_bit(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
-    at = x >> np.uint64(64 - BITMAP)
+    at = x >> np.uint64(62 - len(bits).bit_length())  # the first log2(8 * len(bits)) bits
     return (bits[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 > 0
 
 
 def losses(d: DataFrame, width: int, gram: int) -> DataFrame:
     """(i, h): documents and the hashes of their windows that also start in a document with a smaller id."""
     spark = d.sparkSession
-    sent = spark.sparkContext.broadcast(bitmap(shared_minimizers(d, width, gram), "m"))
+    sent = spark.sparkContext.broadcast(bitmap(written(shared_minimizers(d, width, gram)), "m"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, bits = [], 0, sent.value
 
         def flush() -> pa.RecordBatch:
-            h, i = (np.concatenate(x) for x in zip(*held, strict=True))
+            h, g, i = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            order = np.lexsort((i, h))
-            h, i = h[order], i[order]
-            new = np.r_[True, h[1:] != h[:-1]]
+            order = np.lexsort((i, g, h))
+            h, g, i = h[order], g[order], i[order]
+            new = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]
             other = np.r_[False, i[1:] != i[:-1]] & ~new
             keep = new | other
             by_id = np.argsort(i[keep], kind="stable")
-            h, i, lost = h[keep][by_id], i[keep][by_id], other[keep][by_id]
+            h, g, i, lost = h[keep][by_id], g[keep][by_id], i[keep][by_id], other[keep][by_id]
             # What is known to be lost goes anywhere; what isn't meets the other tasks' rows of the hash.
             key = np.where(lost, h * np.uint64(0x9E3779B97F4A7C15) + i.view(np.uint64), h)
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(i), pa.array(h.view(np.int64), mask=~lost)], names=["key", "i", "h"])
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.where(lost, 0, g)), pa.array(i), pa.array(h.view(np.int64), mask=~lost)], names=["key", "g", "i", "h"])
 
         for batch in batches:
             for ids, flat, counts in batches_of(batch):
@@ -162,8 +169,8 @@ def losses(d: DataFrame, width: int, gram: int) -> DataFrame:
                     continue
                 hit = has_bit(bits, minimizers(flat, width, gram)[at])
                 if hit.any():
-                    h = rolling(flat, width)[at[hit]]
-                    held.append((h, ids[row[hit]]))
+                    h, second = (rolling(flat, width, base)[at[hit]] for base in (BASE, SECOND))
+                    held.append((h, (second >> np.uint64(32)).astype(np.uint32).view(np.int32), ids[row[hit]]))
                     size += len(h)
                 if size >= HELD:
                     yield flush()
@@ -172,29 +179,30 @@ def losses(d: DataFrame, width: int, gram: int) -> DataFrame:
             yield flush()
 
     def lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key and id; of each hash, all ids but the first lose it."""
+        """Rows come sorted by both hashes and id; of each window, all ids but the first lose it."""
         at, least = None, None
         for batch in batches:
-            key, i = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            sure = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
-            h = np.where(sure, batch.column(2).fill_null(0).to_numpy(zero_copy_only=False), key)
+            key, g, i = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
+            sure = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            h = np.where(sure, batch.column(3).fill_null(0).to_numpy(zero_copy_only=False), key)
             open_ = np.flatnonzero(~sure)
             gone = sure.copy()
             if len(open_):
-                k, o = key[open_], i[open_]
-                new = np.r_[at is None or k[0] != at, k[1:] != k[:-1]]
+                k, l, o = key[open_], g[open_], i[open_]
+                new = np.r_[at != (k[0], l[0]), (k[1:] != k[:-1]) | (l[1:] != l[:-1])]
                 first = o[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
                 if not new[0]:
                     first[: int(np.argmax(new)) if new.any() else len(k)] = least
                 gone[open_] = o > first
-                at, least = k[-1], first[-1]
+                at, least = (k[-1], l[-1]), first[-1]
             if gone.any():
                 yield pa.RecordBatch.from_arrays([pa.array(i[gone]), pa.array(h[gone])], names=["i", "h"])
 
-    rows = d.mapInArrow(windows, "key long, i long, h long").repartition("key").sortWithinPartitions("key", "i")
+    rows = d.mapInArrow(windows, "key long, g int, i long, h long").repartition("key").sortWithinPartitions("key", "g", "i")
     return rows.mapInArrow(lost, "i long, h long")
 
 
+@tidy
 def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, keep_row: bool = False) -> DataFrame:
     """Remove every word that is covered by a window of `width` words which also starts in a document with a smaller id.
 
@@ -205,7 +213,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     A null or short text has no window. Rows without an id lose nothing and make others lose
     nothing. Rows that share an id do not count against each other, and each loses what documents with
-    smaller ids have. Other columns are not looked at, whatever their names.
+    smaller ids have. Ids are whole numbers (else the cast fails). An empty table gives none. Other columns are not looked at, whatever their names.
     """
     row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if keep_row else []
     d = docs.select(F.col(id_col).cast("long").alias("i"), as_bytes(text_col).alias("t"), *row)

@@ -76,3 +76,29 @@ def test_minimum_of_runs():
     x = np.random.default_rng(0).integers(0, 99, 50)
     for width in range(1, 14):
         assert substr.least_in_runs(x, width).tolist() == [x[i : i + width].min() for i in range(50 - width + 1)]
+
+
+@pytest.mark.parametrize("size", [20, 22, 29])
+def test_bitmaps_of_all_sizes(size):
+    import numpy as np
+
+    bits = np.zeros(1 << (size - 3), np.uint8)
+    x = np.random.default_rng(1).integers(0, 1 << 64, 1000, np.uint64)
+    for k in (x >> np.uint64(64 - size)).tolist():
+        bits[k // 8] |= 128 >> k % 8
+    assert substr.has_bit(bits, x).all() and substr.has_bit(bits, ~x).mean() < 0.01
+    assert substr.bits_for(0) == 20 and substr.bits_for(10**6) == 24 and substr.bits_for(10**12) == 29
+
+
+def test_windows_whose_first_hashes_meet(spark, monkeypatch):
+    """With a first hash of 4 bits the second one tells windows apart; inside a document the words do."""
+    import numpy as np
+
+    real, plain, few = substr.rolling, substr.BASE, np.uint64(15)
+    monkeypatch.setattr(substr, "rolling", lambda w, width, base=plain: real(w, width, base) & few if base == plain and width == 13 else real(w, width, base))
+    one, two = (" ".join(f"{c}{k}" for k in range(13)) for c in "ab")
+    rows = [(n, f"{one if n % 3 else two} {n}" if n % 2 else " ".join(f"{n}_{k}" for k in range(13))) for n in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lost = {r.i for r in substr.losses(d.selectExpr("doc_id i", "cast(text as binary) t"), 13, 5).collect()}
+    want = {i for i, _, gone, _, _ in brute(rows) if gone}
+    assert lost == want and len(want) == 18
