@@ -6,8 +6,12 @@ symmetric difference of a linked pair is at most H and segments' weights add up
 then segments of weight above `slack` agree: a segment of weight 1 agrees if it holds the
 same shingles on both sides, one of weight 2 if one shingle at most is different. So a set is indexed by
 its segments (weight 1) and by its segments with their one-deletion neighbours (weight 2). How many
-segments of either kind a scheme has is chosen by the cost of their signatures. Empty segments say
-nothing and are left out, unless a set has more of them than the slack allows.
+segments of either kind a scheme has is chosen by the cost of their signatures.
+
+Signatures of no shingle would be shared by sets that have nothing to do with each other, so they are left out. A pair is lost by that only
+if such signatures weigh more than the slack in both of its sets. Sets of which this is true are thin, and are indexed once more
+under another cut of the universe; those that are thin there, too, under a third, and so on, each time a small share. At the last of LEVELS cuts every signature is
+kept, so no pair is lost, and the share of all sets that meet there for want of shingles is that of a few per cent to the power of LEVELS - 1.
 
 Signatures that several sets share give candidates, which are verified in rounds, so that a group of
 n near copies costs about n checks and not n * n / 2: first every set of a bucket against the
@@ -24,15 +28,20 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, documents, fits, hashed, mixed, remembered, rolling, slices, written
+from .common import as_bytes, documents, fits, hashed, mixed, remembered, rolling, slices, tidy, written
 from .components import components
 
 WORDS, PERCENT = 5, 80
 #: Ratio of a band's sizes, and how much a signature of at most one shingle costs beside the one that it is.
 BAND, WEAK = 1.6, 2.0
+#: Cuts of the universe for sets that are thin under those before.
+LEVELS = 8
+#: Signatures that a task holds before it deals them.
+HELD = 1_000_000
 #: The least bits of a parity sketch.
 SKETCH = 512
 #: The most rows of cells, and of ids, that are broadcast (32 MB); more are joined.
@@ -61,20 +70,26 @@ def most_different(x: int, y: int, percent: int) -> int:
 
 
 def allocate(n: float, low: int, need: int) -> tuple[int, int, int]:
-    """(segments of weight 1, of weight 2, slack) with the least cost for sets of about n shingles."""
+    """(segments of weight 1, of weight 2, slack) with the least cost for sets of about n shingles; one of weight 2 at least, where there are enough."""
     best = None
-    for double in range(0, need // 2 + 1, max(1, need // 16)):
-        slack = 0
-        for _ in range(8):  # the empty segments of small sets take part of the weight, so more is needed
+    for double in range(int(need > 3), need // 2 + 1, max(1, need // 16)):
+        for slack in range(0, 4 * need + 8):
             single = need + slack - 2 * double
-            empty = single * math.exp(-low / (single + 2 * double))
-            slack = math.ceil(empty + 2 * math.sqrt(empty)) if single else 0
-        single = need + slack - 2 * double
-        mean = n / (single + 2 * double)
-        weak = single * mean * math.exp(-mean) + double * math.exp(-2 * mean) * (1 + 4 * mean + 4 * mean * mean)
-        cost = single + double * (1 + 2 * mean) + WEAK * weak
-        if best is None or cost < best[0]:
-            best = (cost, single, double, slack)
+            mean = low / (single + 2 * double)
+            bare, few = math.exp(-mean), math.exp(-2 * mean) * (1 + 2 * mean)  # odds of segments without a shingle, or with one at most
+            lost, spread = single * bare + 2 * double * few, math.sqrt(single * bare + 4 * double * few) + 1e-9
+            thin = 0.5 * math.erfc((slack + 0.5 - lost) / spread / math.sqrt(2))
+            if thin > 0.2:
+                continue
+            mean = n / (single + 2 * double)
+            weak = single * mean * math.exp(-mean) + double * math.exp(-2 * mean) * (1 + 4 * mean + 4 * mean * mean)
+            cost = (single + double * (1 + 2 * mean) + WEAK * weak) / (1 - thin)
+            if best is None or cost < best[0]:
+                best = (cost, single, double, slack)
+            if thin < 1e-3:
+                break
+    if best is None:  # few shingles for many segments: none but the last cut finds all
+        return need, 0, 0
     return best[1:]
 
 
@@ -120,10 +135,23 @@ def shingle_sets(texts: list[bytes | None], words: int) -> tuple[np.ndarray, np.
     return h[new], np.bincount(row[new], minlength=len(texts))
 
 
-def fingerprints(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A 64-bit fingerprint of each set that is not empty: the sum of its mixed hashes, mixed."""
+def fingerprints(h: np.ndarray, sizes: np.ndarray, other: bool = False) -> np.ndarray:
+    """A 64-bit fingerprint of each set that is not empty: the sum of its mixed hashes, mixed; with `other` one that is independent of it."""
     first = (np.cumsum(sizes) - sizes)[sizes > 0]
-    return mixed(np.add.reduceat(mixed(h), first) + sizes[sizes > 0].astype(np.uint64)) if len(first) else np.empty(0, np.uint64)
+    if not len(first):
+        return np.empty(0, np.uint64)
+    return mixed(np.add.reduceat(mixed(h * np.uint64(0xD1342543DE82EF95) + np.uint64(1) if other else h), first) + sizes[sizes > 0].astype(np.uint64))
+
+
+def class_of(h: np.ndarray, sizes: np.ndarray, clashing: np.ndarray) -> np.ndarray:
+    """The class of each set, 0 for an empty one: its fingerprint or, where several sets have that one, a number from the other."""
+    k = np.zeros(len(sizes), np.uint64)
+    k[sizes > 0] = fingerprints(h, sizes)
+    if len(clashing) and (hit := np.isin(k, clashing) & (sizes > 0)).any():
+        other = np.zeros(len(sizes), np.uint64)
+        other[sizes > 0] = fingerprints(h, sizes, True)
+        k[hit] = mixed(other[hit] + mixed(k[hit]))
+    return k.view(np.int64)
 
 
 def sketches(h: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
@@ -157,82 +185,115 @@ def folded(sketch: list[bytes], width: int) -> np.ndarray:
 
 
 def signatures(h: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(number of the set, signature) arrays, scheme by scheme."""
+    """(number of the set, signature) arrays, scheme by scheme and cut by cut."""
     row = np.repeat(np.arange(len(sizes)), sizes)
     for s in schemes(int(sizes.max(initial=0)), percent):
-        inside = (sizes >= s.low) & (sizes <= max(s.top, s.high - 1))
-        if not inside.any():
-            continue
-        sets = np.flatnonzero(inside)
-        own = inside[row]
-        x, r = h[own], np.searchsorted(sets, row[own])
-        units, wide = s.single + 2 * s.double, s.single + s.double
-        place = mixed(x + np.uint64(0x632BE59BD9B4E019 * (s.number + 1) % (1 << 64)))
-        unit = (((place >> np.uint64(32)) * np.uint64(units)) >> np.uint64(32)).astype(np.int64)
-        segment = np.where(unit < s.single, unit, s.single + (unit - s.single) // 2)
-        at = r * wide + segment
-        size = len(sets) * wide
-        # Sums of 32-bit halves stay exact in double precision.
-        high, low = (x >> np.uint64(32)).astype(np.float64), (x & np.uint64(0xFFFFFFFF)).astype(np.float64)
-        sums = [np.bincount(at, v, size) for v in (high, low)]
-        held = np.bincount(at, minlength=size)
-
-        def signed(high: np.ndarray, low: np.ndarray, at: np.ndarray, s: Scheme = s, wide: int = wide) -> np.ndarray:
-            name = (at % wide).astype(np.uint64) + np.uint64(s.number << 32)
-            return mixed(mixed((high.astype(np.uint64) << np.uint64(32)) + low.astype(np.uint64)) + name * np.uint64(0x9E3779B97F4A7C15))
-
-        everywhere = np.arange(size)
-        of, seg = everywhere // wide, everywhere % wide
-        single = seg < s.single
-        empty = np.bincount(of[single & (held == 0)], minlength=len(sets))
-        keep = everywhere[~single | (held > 0) | (empty[of] > s.slack)]
-        yield sets[of[keep]], signed(sums[0][keep], sums[1][keep], keep)
-        if s.double:
-            d = np.flatnonzero(segment >= s.single)
-            yield sets[r[d]], signed(sums[0][at[d]] - high[d], sums[1][at[d]] - low[d], at[d])
-
-
-def keys_of(d: DataFrame, words: int) -> DataFrame:
-    """(i, t) -> (i, n, k, sketch): the size, fingerprint and sketch of each set; k and sketch are null for an empty one."""
+        thin = (sizes >= s.low) & (sizes <= max(s.top, s.high - 1))
+        for level in range(LEVELS):
+            if not thin.any():
+                break
+            sets, own = np.flatnonzero(thin), thin[row]
+            of, signature, thin_here = cut(h[own], np.searchsorted(sets, row[own]), len(sets), s, level)
+            yield sets[of], signature
+            thin = np.zeros(len(sizes), bool)
+            thin[sets[thin_here]] = True
+
+
+def cut(x: np.ndarray, r: np.ndarray, sets: int, s: Scheme, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles x of sets r, under a scheme's cut: (sets, their signatures; whether each set is thin)."""
+    units, wide = s.single + 2 * s.double, s.single + s.double
+    place = mixed(x + np.uint64(0x632BE59BD9B4E019 * (s.number * LEVELS + level + 1) % (1 << 64)))
+    unit = (((place >> np.uint64(32)) * np.uint64(units)) >> np.uint64(32)).astype(np.int64)
+    segment = np.where(unit < s.single, unit, s.single + (unit - s.single) // 2)
+    at, size = r * wide + segment, sets * wide
+    # Sums of 32-bit halves stay exact in double precision.
+    high, low = (x >> np.uint64(32)).astype(np.float64), (x & np.uint64(0xFFFFFFFF)).astype(np.float64)
+    sums = [np.bincount(at, v, size) for v in (high, low)]
+    held = np.bincount(at, minlength=size)
+    everywhere = np.arange(size)
+    of, single = everywhere // wide, everywhere % wide < s.single
+    lost = np.bincount(of, np.where(single, held == 0, 2 * (held <= 1)), sets)
+    thin = lost > s.slack
+    last = level == LEVELS - 1
+
+    def signed(high: np.ndarray, low: np.ndarray, at: np.ndarray) -> np.ndarray:
+        name = (at % wide).astype(np.uint64) + np.uint64((s.number * LEVELS + level) << 32)
+        return mixed(mixed((high.astype(np.uint64) << np.uint64(32)) + low.astype(np.uint64)) + name * np.uint64(0x9E3779B97F4A7C15))
+
+    keep = everywhere[(held > 0) | (last & thin[of])]
+    out = [(of[keep], signed(sums[0][keep], sums[1][keep], keep))]
+    if s.double:
+        d = np.flatnonzero((segment >= s.single) & ((held[at] > 1) | (last & thin[r])))
+        out.append((r[d], signed(sums[0][at[d]] - high[d], sums[1][at[d]] - low[d], at[d])))
+    of, signature = (np.concatenate(v) for v in zip(*out, strict=True))
+    return of, signature, thin
+
+
+def keys_of(d: DataFrame, words: int, clashing: np.ndarray) -> DataFrame:
+    """(i, t) -> (i, n, k, other, sketch): the size, class, another fingerprint and sketch of each set; the latter three are null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, end in slices(batch, 1):
                 part = batch.slice(start, end - start)
                 h, sizes = shingle_sets(part.column(1).to_pylist(), words)
-                k = np.zeros(len(sizes), np.uint64)
-                k[sizes > 0] = fingerprints(h, sizes)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes.astype(np.int64)), pa.array(k.view(np.int64), mask=sizes == 0), pa.array(sketches(h, sizes), pa.binary())], names=["i", "n", "k", "sketch"])
+                k, other = class_of(h, sizes, clashing), np.zeros(len(sizes), np.uint64)
+                other[sizes > 0] = fingerprints(h, sizes, True)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes.astype(np.int64)), pa.array(k, mask=sizes == 0), pa.array(other.view(np.int64), mask=sizes == 0), pa.array(sketches(h, sizes), pa.binary())], names=["i", "n", "k", "other", "sketch"])
 
-    return d.mapInArrow(run, "i long, n long, k long, sketch binary")
+    return d.mapInArrow(run, "i long, n long, k long, other long, sketch binary")
 
 
-def signatures_of(d: DataFrame, words: int, percent: int) -> DataFrame:
-    """(i, t) -> (s, k): the signatures of every different set of a task, once."""
+def signatures_of(d: DataFrame, words: int, percent: int, clashing: np.ndarray) -> DataFrame:
+    """(i, t) -> (key, k, s, p): the signatures of every different set of a task, once.
+
+    Of the sets that share a signature, HELD rows at a time, all but the least come with it as p and are dealt anywhere; the least, whose s and p
+    are null, is dealt by its signature, which is then the key. So a signature that very many sets share makes few rows that must meet.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def dealt() -> pa.RecordBatch:
+            s, k = (np.concatenate(v) for v in zip(*held, strict=True))
+            held.clear()
+            order = np.lexsort((k, s))
+            s, k = s[order], k[order]
+            new = np.r_[True, s[1:] != s[:-1]]
+            keep = new | np.r_[True, k[1:] != k[:-1]]
+            p = k[np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))]
+            s, k, p, new = s[keep], k[keep], p[keep], new[keep]
+            key = np.where(new, s, mixed((s + k).view(np.uint64)).view(np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(k), pa.array(s, mask=new), pa.array(p, mask=new)], names=["key", "k", "s", "p"])
+
         for batch in batches:
             for start, end in slices(batch, 1):
                 h, sizes = shingle_sets(batch.column(1).slice(start, end - start).to_pylist(), words)
                 if not len(h):
                     continue
-                k = np.zeros(len(sizes), np.uint64)
-                k[sizes > 0] = fingerprints(h, sizes)
+                k = class_of(h, sizes, clashing)
                 fresh = np.zeros(len(sizes), bool)
                 for j, x in enumerate(k.tolist()):
                     if sizes[j] and x not in seen:
                         seen.add(x)
                         fresh[j] = True
-                own, k = np.repeat(fresh, sizes), k[fresh].view(np.int64)
+                own, k = np.repeat(fresh, sizes), k[fresh]
                 for of, s in signatures(h[own], sizes[fresh], percent):
-                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(k[of])], names=["s", "k"])
+                    held.append((s.view(np.int64), k[of]))
+                    size += len(s)
+                if size >= HELD:
+                    yield dealt()
+                    size = 0
+        if held:
+            yield dealt()
 
-    return d.mapInArrow(run, "s long, k long")
+    return d.mapInArrow(run, "key long, k long, s long, p long")
 
 
 def buckets(rows: DataFrame) -> DataFrame:
-    """(s, k) -> (s, k, p): the sets of each signature that at least two sets have, with the least of them, p.
+    """(key, k, s, p) of signatures_of -> (s, k, p): the sets of each signature that at least two sets have, each with one that is not larger, p.
 
     Rows stream through sorted, and nothing but the current bucket's least is held.
     """
@@ -241,7 +302,10 @@ def buckets(rows: DataFrame) -> DataFrame:
         at = pivot = last = None
         told = True
         for batch in batches:
-            s, k = (c.to_numpy() for c in batch.columns)
+            sure = batch.column(3).is_valid()
+            yield batch.select(["s", "k", "p"]).filter(sure)
+            batch = batch.filter(pc.invert(sure))
+            s, k = (batch.column(c).to_numpy() for c in (0, 1))
             if not len(s):
                 continue
             new = np.r_[at is None or s[0] != at, s[1:] != s[:-1]]
@@ -263,7 +327,7 @@ def buckets(rows: DataFrame) -> DataFrame:
             at, last = s[-1], k[-1]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["s", "k", "p"])
 
-    return rows.repartition("s").sortWithinPartitions("s", "k").mapInArrow(run, "s long, k long, p long")
+    return rows.repartition("key").sortWithinPartitions("key", "k").mapInArrow(run, "s long, k long, p long")
 
 
 def may_link(n1: np.ndarray, n2: np.ndarray, different: np.ndarray, percent: int) -> np.ndarray:
@@ -287,7 +351,7 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, d: DataFrame, words: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, d: DataFrame, words: int, percent: int, clashing: np.ndarray) -> DataFrame:
     """Those of the pairs (a, b) of classes whose sets link, by comparing the sets.
 
     The texts beside one a meet in cells of about CELL rows, each with a's text in front. So a
@@ -311,10 +375,8 @@ def verified(pairs: DataFrame, classes: DataFrame, d: DataFrame, words: int, per
                 part = batch.slice(start, end - start)
                 a, place, node = (part.column(c).to_pylist() for c in (0, 2, 3))
                 h, sizes = shingle_sets(part.column(4).to_pylist(), words)
-                name = np.zeros(len(sizes), np.uint64)
-                name[sizes > 0] = fingerprints(h, sizes)
                 ends, found = np.cumsum(sizes), []
-                for r, k in enumerate(name.view(np.int64).tolist()):
+                for r, k in enumerate(class_of(h, sizes, clashing).tolist()):
                     own = h[ends[r] - sizes[r] : ends[r]]
                     if k != node[r]:
                         continue  # another text under the same id
@@ -330,7 +392,7 @@ def verified(pairs: DataFrame, classes: DataFrame, d: DataFrame, words: int, per
 
 
 def across(members: DataFrame, classes: DataFrame, percent: int, best: bool) -> DataFrame:
-    """(s, k, p, root) -> (a, b): pairs of a bucket in different components that may link, without those of the bucket's least.
+    """(s, k, root) -> (a, b): pairs of a bucket in different components that may link.
 
     With `best` only the pair of each two components whose sketches differ least, over all buckets.
     Else a pair comes from one of the buckets that it shares, as far as each set's first FIRST buckets tell: it is left
@@ -338,10 +400,12 @@ def across(members: DataFrame, classes: DataFrame, percent: int, best: bool) ->
     """
     sizes = members.groupBy("s").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     sizes = written(sizes.select(F.col("s").alias("s2"), F.ceil(F.col("m") / PART).cast("int").alias("parts")))
-    open_ones = members.join(sizes, F.col("s") == F.col("s2"))
+    sizes = F.broadcast(sizes) if fits(sizes, BROADCAST_IDS) else sizes
+    # A set whose copies lie in several tasks comes several times.
+    open_ones = members.join(sizes, F.col("s") == F.col("s2")).select("s", "k", "root", "parts").distinct()
     early = open_ones.groupBy(F.col("k").alias("k3")).agg(F.slice(F.array_sort(F.collect_set("s")), 1, FIRST).alias("early"))
     known = classes.select(F.col("k").alias("k2"), "n", "sketch").join(early, F.col("k2") == F.col("k3")).drop("k3")
-    m = open_ones.where("k <> p").join(known, F.col("k") == F.col("k2"))
+    m = open_ones.join(known, F.col("k") == F.col("k2"))
     m = m.withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     m = m.select("s", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "k", "root", "n", "sketch", "early")
     names = ["s", "x", "y"]
@@ -404,33 +468,50 @@ def across(members: DataFrame, classes: DataFrame, percent: int, best: bool) ->
 
 def grouped(found: DataFrame, roots: DataFrame) -> DataFrame:
     """The members of buckets with the components that they are in so far."""
-    return written(found.join(roots, F.col("k") == F.col("node"), "left").select("s", "k", "p", F.coalesce("root", "k").alias("root")))
+    return written(found.join(roots, F.col("k") == F.col("node"), "left").select("s", "k", F.coalesce("root", "k").alias("root")))
 
 
+def classed(d: DataFrame, words: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """(keys_of(d), the classes: k, first, n, sketch, fingerprints of which sets have several).
+
+    Sets that share a fingerprint but not the other one are told apart by both, 128 bits.
+    """
+    clashing = np.empty(0, np.uint64)
+    while True:
+        keys = written(keys_of(d, words, clashing))
+        classes = keys.where(F.col("k").isNotNull() & F.col("i").isNotNull()).groupBy("k").agg(F.min("i").alias("first"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("other").alias("lo"), F.max("other").alias("hi"))
+        classes = written(classes)
+        # Far below one in 10**9 sets; none in most tables.
+        again = classes.where("lo <> hi").select("k").toArrow()["k"].to_numpy().view(np.uint64)
+        if not len(again):
+            return keys.drop("other"), classes.drop("lo", "hi"), clashing
+        clashing = np.union1d(clashing, again)
+
+
+@tidy
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Link documents whose shingle sets have a Jaccard similarity of `percent` or more; a row per input row: id, n_shingles, component_id.
 
     A set holds the distinct shingles of `words` words (runs of bytes other than 0x20 and 0x09-0x0D,
     A-Z lower-cased); with fewer words, the whole sequence is one; a null text or one
     without words has the empty set and links with nothing. component_id is the smallest id that
-    links reach. Rows without an id link with nothing and have none. Rows that repeat an id are
-    documents of their own with that id; equal sets are one class, told apart by a 64-bit
-    fingerprint. Other columns are not looked at, whatever their names.
+    links reach. Ids are whole numbers (else the cast fails). Rows without an id link with nothing and have none. Rows that repeat an id are
+    documents of their own with that id; equal sets are one class, told apart by 128 bits. An empty table gives none.
+    Other columns are not looked at, whatever their names.
     """
     d = docs.select(F.col(id_col).cast("long").alias("i"), as_bytes(text_col).alias("t"))
-    keys = written(keys_of(d, words))
+    keys, classes, clashing = classed(d, words)
     with_id = d.where(F.col("i").isNotNull())
-    classes = keys.where(F.col("k").isNotNull() & F.col("i").isNotNull()).groupBy("k").agg(F.min("i").alias("first"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
-    classes = written(classes)
-    found = written(buckets(signatures_of(with_id, words, percent)))
-    stars = found.where("k <> p").select(F.col("p").alias("a"), F.col("k").alias("b")).distinct()
-    near = written(verified(written(plausible(stars, classes, percent)), classes, with_id, words, percent))
+    found = written(buckets(signatures_of(with_id, words, percent, clashing)))
+    stars = written(plausible(found.where("k <> p").select(F.col("p").alias("a"), F.col("k").alias("b")).distinct(), classes, percent))
+    near = written(verified(stars, classes, with_id, words, percent, clashing))
     # The likeliest pair of each two components comes first: where it links, the others needn't be looked at.
     best = written(across(grouped(found, components(near)), classes, percent, True))
-    near = written(near.unionByName(verified(best, classes, with_id, words, percent)))
+    near = written(near.unionByName(verified(best, classes, with_id, words, percent, clashing)))
     rest = across(grouped(found, components(near)), classes, percent, False)
-    rest = rest.join(best.withColumnsRenamed({"a": "a2", "b": "b2"}), (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")), "left_anti")
-    more = verified(written(rest), classes, with_id, words, percent)
+    tried = stars.select(F.least("a", "b").alias("a2"), F.greatest("a", "b").alias("b2")).unionByName(best.select(F.least("a", "b").alias("a2"), F.greatest("a", "b").alias("b2")))
+    rest = rest.join(tried, (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")), "left_anti")
+    more = verified(written(rest), classes, with_id, words, percent, clashing)
     roots = written(components(near.unionByName(more)))
     named = classes.join(roots, F.col("k") == F.col("node"), "left").select("k", "first", F.coalesce("root", "k").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("least")).withColumnRenamed("root", "r")

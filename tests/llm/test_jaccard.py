@@ -105,6 +105,34 @@ def test_linked_sets_share_a_signature(percent):
         assert np.intersect1d(s[of == 0], s[of == 1]).size, (x, y, shared)
 
 
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_linked_sets_share_a_signature_at_few_cuts(monkeypatch, levels):
+    monkeypatch.setattr(jaccard, "LEVELS", levels)
+    test_linked_sets_share_a_signature(80)
+
+
+@pytest.mark.parametrize("size", [10, 20, 60, 100])
+def test_unrelated_sets_do_not_meet(size):
+    """No signature is shared for want of shingles: the largest bucket of random sets doesn't grow with their number."""
+    rng = np.random.default_rng(size)
+    for sets in (2000, 20_000):
+        h = np.sort(rng.integers(0, 1 << 64, (sets, size), np.uint64), axis=1).ravel()
+        found = np.concatenate([s for _, s in signatures(h, np.full(sets, size), 80)])
+        assert np.unique(found, return_counts=True)[1].max() <= 2
+
+
+def test_classes_whose_fingerprints_meet(spark, monkeypatch):
+    real, few = jaccard.fingerprints, np.uint64(7)
+    monkeypatch.setattr(jaccard, "fingerprints", lambda h, sizes, other=False: real(h, sizes, other) if other else real(h, sizes) & few)
+    check(spark, corpus(5, 25))
+
+
+def test_hot_signatures_meet_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HELD", 300)
+    monkeypatch.setattr(jaccard, "PART", 8)
+    check(spark, corpus(6, 60))
+
+
 def test_schemes_cover_all_sizes_without_gaps():
     made = schemes(5000, 80)
     assert made[0].low == 4 and all(a.high == b.low for a, b in zip(made, made[1:], strict=False))
