@@ -1,7 +1,7 @@
 """Language ID: a bidirectional gated recurrent network over bytes.
 
 Trained in numpy on the driver by backpropagation through time, on windows of a bounded sample of
-texts. It labels every byte of every text; a document's probabilities are the mean of its bytes'.
+texts. It labels every byte of every text, in windows whose states have read some bytes around them; a document's probabilities are the mean of its bytes'.
 """
 
 from __future__ import annotations
@@ -19,8 +19,10 @@ from .quality import held_out
 #: The most documents of each language that the network learns from (about: chosen by a hash of the id).
 PER_LANGUAGE = 250
 HIDDEN, WINDOW, STEPS, BATCH, RATE = 16, 128, 300, 192, 0.01
-#: Bytes of a window, and windows at a time, when texts are labelled.
-READ_WINDOW, READ_BATCH = 256, 2048
+#: Texts of more than LONG bytes teach by PIECES windows at even distances, so that a bounded number of bytes comes to the driver.
+LONG, PIECES = 4096, 32
+#: Bytes of a window, bytes before and after it that its states have seen, and windows at a time, when texts are labelled.
+READ_WINDOW, HALO, READ_BATCH = 256, 32, 2048
 UNDETERMINED = "und"
 
 # ASCII capitals are read as small letters.
@@ -111,8 +113,8 @@ class BiGru:
         ds = self.w.T @ p
         return float(loss), [*self.ahead.backward(x, kept[0], ds[:, :k]), *self.back.backward(x, kept[1], ds[:, k:]), dw, db]
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, steps: int = STEPS, batch: int = BATCH, seed: int = 11) -> list[float]:
-        """Adam on windows at random places of texts; languages are drawn evenly. Returns the losses."""
+    def fit(self, texts: list[list[bytes]], labels: np.ndarray, steps: int = STEPS, batch: int = BATCH, seed: int = 11) -> list[float]:
+        """Adam on windows at random places of texts, which are lists of pieces; languages are drawn evenly. Returns the losses."""
         rng = np.random.default_rng(seed)
         by = [[t for t, y in zip(texts, labels, strict=True) if y == k] for k in range(len(self.languages))]
         own, losses = self.parameters(), []
@@ -121,7 +123,8 @@ class BiGru:
             y = rng.integers(len(by), size=batch)
             x = np.full((batch, WINDOW), 32, np.uint8)
             for i, k in enumerate(y):
-                text = by[k][rng.integers(len(by[k]))]
+                pieces = by[k][rng.integers(len(by[k]))]
+                text = pieces[rng.integers(len(pieces)) if len(pieces) > 1 else 0]
                 at = rng.integers(max(1, len(text) - WINDOW + 1))
                 piece = np.frombuffer(text[at : at + WINDOW], np.uint8)
                 x[i, : len(piece)] = piece
@@ -136,8 +139,8 @@ class BiGru:
                 p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         return losses
 
-    def labelled(self, x: np.ndarray, length: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(t, probabilities) of the bytes at place t of each window, from the last place to the first; (languages, batch), 0 on padding.
+    def labelled(self, x: np.ndarray, length: np.ndarray, first: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(t, probabilities) of the bytes at place t of each window, from the last place to the first; (languages, batch), 0 outside of first <= t < end.
 
         x: (time, batch), where columns of less than `time` bytes end in padding; the backward
         network starts at a column's last byte, as its states on padding are put back to zero.
@@ -155,29 +158,25 @@ class BiGru:
             p += self.w[:, k:] @ h
             p -= p.max(axis=0)
             np.exp(p, out=p)
-            scale = 1 / p.sum(axis=0)
-            if short:
-                scale *= t < length
-            p *= scale
+            p *= (1 / p.sum(axis=0)) * ((t >= first) & (t < end))
             yield t, p
 
     def positions(self, text: bytes) -> np.ndarray:
         """(bytes, languages): the probabilities of every byte of one text."""
         flat = FOLD[np.frombuffer(text, np.uint8)]
-        windows = -(-len(text) // READ_WINDOW)
-        x = np.full(windows * READ_WINDOW, 32)
-        x[: len(text)] = flat
-        length = np.minimum(len(text) - np.arange(windows) * READ_WINDOW, READ_WINDOW)
-        out = np.zeros((windows, READ_WINDOW, len(self.languages)), np.float32)
-        if windows:
-            for t, p in self.labelled(np.ascontiguousarray(x.reshape(windows, READ_WINDOW).T), length):
-                out[:, t] = p.T
-        return out.reshape(-1, len(self.languages))[: len(text)]
-
-    def window_sums(self, x: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """(languages, batch): the sums over each window's bytes of their probabilities."""
+        out = np.zeros((len(text), len(self.languages)), np.float32)
+        if text:
+            _, begin, length, first, end = windows(np.array([len(text)]))
+            places = begin[None, :] + np.arange(int(length.max()))[:, None]
+            for t, p in self.labelled(flat[np.minimum(places, len(flat) - 1)], length, first, end):
+                own = (t >= first) & (t < end)
+                out[places[t, own]] = p.T[own]
+        return out
+
+    def window_sums(self, x: np.ndarray, length: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """(languages, batch): the sums over each window's own bytes of their probabilities."""
         sums = np.zeros((len(self.languages), x.shape[1]), np.float32)
-        for _, p in self.labelled(x, length):
+        for _, p in self.labelled(x, length, first, end):
             sums += p
         return sums
 
@@ -187,24 +186,34 @@ class BiGru:
         sums = np.zeros((len(texts), len(self.languages)))
         flat = FOLD.astype(np.uint8)[np.frombuffer(b"".join(texts), np.uint8)]
         start = np.cumsum(n) - n
-        windows = -(-n // READ_WINDOW)
-        row = np.repeat(np.arange(len(texts)), windows)
-        at = (np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)) * READ_WINDOW
-        length = np.minimum(n[row] - at, READ_WINDOW)
+        row, begin, length, first, end = windows(n)
         order = np.argsort(length, kind="stable")[::-1]  # full windows first, then shorter and shorter ones
         for i in range(0, len(order), READ_BATCH):
             own = order[i : i + READ_BATCH]
-            time = int(length[own[0]])
-            places = (start[row[own]] + at[own])[None, :] + np.arange(time)[:, None]
+            places = (start[row[own]] + begin[own])[None, :] + np.arange(int(length[own[0]]))[:, None]
             x = flat[np.minimum(places, len(flat) - 1)].astype(np.intp)
-            np.add.at(sums, row[own], self.window_sums(x, length[own]).T)
+            np.add.at(sums, row[own], self.window_sums(x, length[own], first[own], end[own]).T)
         return np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], 1 / max(1, len(self.languages)))
 
 
+def windows(n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(number of the text, where the window begins in it, its bytes, where its own bytes begin and end in it) of all windows of texts of n bytes.
+
+    A window's own bytes are READ_WINDOW at most; HALO bytes on either side, where there are as many, only warm up its states.
+    """
+    many = -(-n // READ_WINDOW)
+    row = np.repeat(np.arange(len(n)), many)
+    at = (np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)) * READ_WINDOW
+    own = np.minimum(n[row] - at, READ_WINDOW)
+    first = np.minimum(at, HALO)
+    length = first + own + np.minimum(n[row] - at - own, HALO)
+    return row, at - first, length, first, first + own
+
+
 def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, fold: int = 1, per_language: int = PER_LANGUAGE, steps: int = STEPS) -> BiGru:
     """A network from about `per_language` documents of each language outside the held-out fold.
 
-    Null languages, null or empty texts and null ids teach nothing. Counts by language come from
+    Null languages, null or empty texts and null ids teach nothing; long texts teach by windows from all over them. Counts by language come from
     all rows; the sample is chosen by a hash of the id, the same in every run.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, folds, fold) & (F.length(text_col) > 0))
@@ -217,8 +226,11 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     pick = F.lit(False)
     for name in languages:
         pick = pick | ((F.col("l") == name) & (u < min(1.0, per_language / counts[name])))
-    rows = known.where(pick).orderBy(F.xxhash64("i"), "i", "l", "t").limit(2 * per_language * len(languages)).select("l", as_bytes("t").alias("t")).toArrow()
-    texts, names = rows["t"].to_pylist(), rows["l"].to_pylist()
+    size = F.length("b")
+    each = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring(F.col("b"), (F.floor(i * (size - WINDOW) / (PIECES - 1)) + 1).cast("int"), F.lit(WINDOW)))
+    known = known.where(pick).withColumn("b", as_bytes("t")).select("i", "l", F.when(size <= LONG, F.array("b")).otherwise(each).alias("pieces"))
+    rows = known.orderBy(F.xxhash64("i"), "i", "l", "pieces").limit(2 * per_language * len(languages)).select("l", "pieces").toArrow()
+    texts, names = rows["pieces"].to_pylist(), rows["l"].to_pylist()
     languages = sorted({*names})
     model = BiGru(languages)
     model.fit(texts, np.array([languages.index(x) for x in names]), steps)
@@ -229,7 +241,7 @@ def identify_language(docs: DataFrame, model: BiGru, *, id_col: str = "doc_id",
     """Predict the language of every whole text: id, held_out, lang_pred, score (the pooled probability), n_bytes.
 
     A null text, one without a letter, or any text under a model without languages is `und` with score 0. Equal probabilities
-    go to the language that sorts first. Null ids are not held out; rows may repeat; other columns are
+    go to the language that sorts first. Ids are whole numbers (else the cast fails), null ones not held out; rows may repeat; an empty table gives none; other columns are
     not looked at. One pass without a shuffle; the model is a few kilobytes.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)

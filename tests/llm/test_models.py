@@ -48,6 +48,49 @@ def test_probabilities_do_not_depend_on_the_batch():
     assert together[-1].tolist() == [0.5, 0.5]
 
 
+def plain_gru(cell, text):
+    """States of one direction, byte by byte."""
+    k, h, out = cell.hidden, np.zeros(cell.hidden), []
+    for b in text:
+        e, u = cell.e[:, b].astype(float), cell.u.astype(float) @ h
+        r, z = (np.clip(e[i * k : (i + 1) * k] + u[i * k : (i + 1) * k] + 0.5, 0, 1) for i in (0, 1))
+        n = np.tanh(e[2 * k :] + r * u[2 * k :])
+        h = n + z * (h - n)
+        out.append(h)
+    return out
+
+
+def test_positions_against_plain_loops(monkeypatch):
+    model = langid.BiGru(["a", "b", "c"], hidden=4, seed=2)
+    monkeypatch.setattr(langid, "READ_WINDOW", 20)
+    monkeypatch.setattr(langid, "HALO", 7)
+    text = bytes(np.random.default_rng(3).integers(32, 127, 73).astype(np.uint8))
+    got, small = model.positions(text), text.lower()
+    for at in range(0, len(text), 20):
+        begin, end = max(0, at - 7), min(len(text), at + 27)
+        window = small[begin:end]
+        states = zip(plain_gru(model.ahead, window), plain_gru(model.back, window[::-1])[::-1], strict=True)
+        for t, (f, b) in enumerate(states):
+            if at <= begin + t < min(len(text), at + 20):
+                z = model.w.astype(float) @ np.concatenate([f, b]) + model.b[:, 0]
+                p = np.exp(z - z.max())
+                assert got[begin + t] == pytest.approx(p / p.sum(), abs=1e-4)
+    assert model.probabilities([text, b"", text[:5]])[0] == pytest.approx(got.mean(axis=0), abs=1e-5)
+
+
+def test_long_texts_teach_by_pieces(spark):
+    rows = [(n, (w * 40 if n % 2 else w * 60_000), lang) for n, (w, lang) in enumerate([("the cat ", "en"), ("der hund ", "de")] * 8)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), steps=60)
+    assert model.languages == ["de", "en"] and model.probabilities([b"the cat the cat", b"der hund der"]).argmax(axis=1).tolist() == [1, 0]
+
+
+def test_an_id_that_repeats_teaches_once(spark):
+    d = spark.createDataFrame([(k % 40, f"a b {k % 40} c" * (1 + k % 40)) for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    once, often = quality.learn(d.dropDuplicates(["doc_id"]), labels), quality.learn(d, labels)
+    assert (once.value == often.value).all() and (once.feature == often.feature).all()
+
+
 def test_held_out_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify_language(docs, langid.learn(docs)).join(docs.select("doc_id", "lang"), "doc_id").collect()
