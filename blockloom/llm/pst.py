@@ -19,10 +19,10 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, documents, hashed, mixed, slices, split_words, written
+from .common import as_bytes, documents, hashed, mixed, slices, split_words, tidy, written
 from .quality import held_out
 
 DEPTH, LEAST, LEAST_SHARE, DIVERGENCE, SMOOTH = 6, 30, 1e-5, 0.002, 30.0
@@ -100,6 +100,20 @@ def runs_of(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarra
     return key[own], n - depth
 
 
+def different(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the sorted different values, the place of each value among them); by a table of hashes, and by bisection for values whose slot another one has."""
+    each = np.sort(x)
+    each = each[np.r_[True, each[1:] != each[:-1]]] if len(each) else each
+    bits = len(each).bit_length() + 2
+    slot = lambda v: (v.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).view(np.int64)
+    table = np.zeros(1 << bits, np.int32)
+    table[slot(each)] = np.arange(len(each), dtype=np.int32)
+    place = table[slot(x)]
+    other = np.flatnonzero(each[place] != x) if len(x) else np.empty(0, np.intp)
+    place[other] = np.searchsorted(each, x[other])
+    return each, place
+
+
 def counted(d: DataFrame, what: str, depth: int = DEPTH) -> DataFrame:
     """(t binary) -> (k, c): counts of words' hashes, or of contexts of `depth` symbols and the next symbol."""
 
@@ -184,7 +198,7 @@ class SuffixAutomaton:
     def scores(self, texts: list[list[bytes]]) -> np.ndarray:
         """log10 of the probability of each text: its words and its end."""
         runs, n = runs_of(texts, self.depth)
-        each, at = np.unique(runs, return_inverse=True)
+        each, at = different(runs)
         return np.bincount(np.repeat(np.arange(len(texts)), n), self.look(each)[0][at], len(texts))
 
     @cached_property
@@ -233,17 +247,19 @@ def grown(d: DataFrame, depth: int, least: int, share: float, divergence: float)
         root[r["x"]] = r["c"]
     total = root.sum()
     least = min(least, share * total)
-    masks = F.array(*(F.lit(mask(j, depth) << 8 | 255) for j in range(1, depth + 1)))
-    each = runs.select(F.posexplode(masks).alias("d", "m"), "k", "c").select("d", F.col("k").bitwiseAND(F.col("m")).alias("k"), "c")
-    each = each.groupBy("d", "k").agg(F.sum("c").alias("c"))
-    each = each.select("d", F.shiftright("k", 8).alias("context"), F.col("k").bitwiseAND(F.lit(255)).alias("x"), "c")
-    often = each.groupBy(F.col("context").alias("context2")).agg(F.sum("c").alias("n")).where(F.col("n") >= least)
-    pairs = written(each.join(often, F.col("context") == F.col("context2")).select("d", "context", "x", "c", "n"))
+    # Counts of each length come from those of the next longer one; a context has 256 rows at most.
+    counts = {}
+    rows = runs.select(F.shiftright("k", 8).alias("context"), F.col("k").bitwiseAND(F.lit(255)).alias("x"), "c")
+    for j in range(depth, 0, -1):
+        if j < depth:
+            rows = rows.groupBy(F.col("context").bitwiseAND(F.lit(mask(j, depth))).alias("context"), "x").agg(F.sum("c").alias("c"))
+        rows = written(rows.withColumn("n", F.sum("c").over(Window.partitionBy("context"))))
+        counts[j] = rows.where(F.col("n") >= least)
     before = d.sparkSession.createDataFrame([(0, x, float((root[x] + 0.1) / (total + 25.6))) for x in range(256)], "suffix long, x2 long, shorter double")
     levels = None
     for j in range(1, depth + 1):
         suffix = F.col("context").bitwiseAND(F.lit(mask(j - 1, depth)))
-        level = pairs.where(F.col("d") == j - 1).join(before, (suffix == F.col("suffix")) & (F.col("x") == F.col("x2")))
+        level = counts[j].join(before, (suffix == F.col("suffix")) & (F.col("x") == F.col("x2")))
         level = written(level.select("context", "x", "c", "n", "shorter", ((F.col("c") + SMOOTH * F.col("shorter")) / (F.col("n") + SMOOTH)).alias("p")))
         before = level.select(F.col("context").alias("suffix"), F.col("x").alias("x2"), F.col("p").alias("shorter"))
         levels = level if levels is None else levels.unionByName(level)
@@ -292,11 +308,12 @@ def bitmap(contexts: DataFrame) -> np.ndarray:
     return out
 
 
+@tidy
 def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, fold: int = 0, head: int = HEAD, tree_head: int = TREE_HEAD) -> DataFrame:
     """Score every whole text, learning from those outside the held-out fold.
 
     Returns id, held_out, n_tokens, n_known, train_tokens, base_score, score. Null texts are empty: one
-    token, the end. Rows without an id are learned from and not held out; rows may repeat and each counts;
+    token, the end. Words and contexts are told by 64 bits; ids are whole numbers (else the cast fails). Rows without an id are learned from and not held out; rows may repeat and each counts;
     an empty table gives none; other columns are not looked at. With nothing to learn from, every base
     probability is 1 and the tree is its smoothed root.
     """
@@ -337,7 +354,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 flat, n = hashed(raw, lower=True)
                 texts = [split_words(t, lower=True) for t in raw]
                 runs, size = runs_of(texts, DEPTH)
-                each, place = np.unique(runs, return_inverse=True)
+                each, place = different(runs)
                 log, length = automaton.look(each)
                 text = np.repeat(np.arange(len(texts)), size)
                 score = np.bincount(text, log[place], len(texts))

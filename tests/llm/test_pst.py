@@ -1,7 +1,7 @@
 import re
 import zlib
 from collections import Counter
-from math import log10
+from math import log, log10
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,3 +92,70 @@ def test_contexts_that_are_joined_score_as_those_in_every_task(spark):
     want, some, none = ({r.doc_id: r.score for r in score_texts(d, tree_head=n).collect()} for n in (10**7, 3000, 0))
     assert some == pytest.approx(want, rel=1e-5)
     assert none == pytest.approx(want, rel=1e-5)
+
+
+def plain_tree(texts, depth=DEPTH, least=3, divergence=0.002, smooth=30.0):
+    """The tree from its meaning, in dictionaries: contexts and next symbols, kept by count and divergence, smoothed towards their suffixes."""
+    counts = Counter()
+    for t in texts:
+        s = "\n" * depth + "".join(w + " " for w in words_of(t)) + "\n"
+        for i in range(depth, len(s)):
+            for n in range(depth + 1):
+                counts[s[i - n : i], s[i]] += 1
+    after = {}
+    for (context, x), c in counts.items():
+        after.setdefault(context, {})[x] = c
+    total = sum(after[""].values())
+    root = lambda x: (after[""].get(x, 0) + 0.1) / (total + 25.6)
+    often = {c: sum(d.values()) for c, d in after.items() if c and sum(d.values()) >= least}
+
+    def p(context, x):
+        return (after[context].get(x, 0) + smooth * (p(context[1:], x))) / (often[context] + smooth) if context else root(x)
+
+    kept = {""}
+    for context, n in often.items():
+        if sum(c / n * log(c / n / p(context[1:], x)) for x, c in after[context].items()) >= divergence:
+            kept |= {context[i:] for i in range(len(context))}
+
+    def score(text):
+        s, out = "\n" * depth + "".join(w + " " for w in words_of(text)) + "\n", 0.0
+        for i in range(depth, len(s)):
+            context = next(s[i - n : i] for n in range(depth, -1, -1) if s[i - n : i] in kept)
+            out += log10(p(context, s[i]))
+        return out
+
+    return kept, score
+
+
+@pytest.mark.parametrize("divergence", [0.002, 0.3])
+def test_learning_and_scores_against_dictionaries(spark, divergence):
+    import random
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["ab", "ba", "abc", "Cab", "bb"]) for _ in range(rng.randrange(12))) for _ in range(60)] + [None, ""]
+    kept, score = plain_tree(texts, least=3, divergence=divergence)
+    d = spark.createDataFrame([(None if t is None else bytearray(t, "ascii"),) for t in texts], "t binary")
+    tree = learn_tree(d, least=3, share=1.0, divergence=divergence)
+    assert len(tree.suffixes.contexts) == len(kept)
+    for t in texts[:20] + ["", "zz top", "abcabc bba cab"]:
+        assert tree.scores([[w.encode() for w in words_of(t)]])[0] == pytest.approx(score(t), rel=1e-5)
+
+
+def test_scores_of_the_query_are_those_of_dictionaries(spark):
+    rows = [(i, f"{'ab ba' if i % 3 else 'ba abb'} c{i % 4}" * (i % 5)) for i in range(120)]
+    learned = [t for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    positions = sum(len("".join(w + " " for w in words_of(t))) + 1 for t in learned)
+    _, score = plain_tree(learned, least=min(30, 1e-5 * positions))
+    got = {r.doc_id: r.score for r in score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: pytest.approx(score(t), rel=1e-5) for i, t in rows}
+
+
+def test_distinct_values():
+    import numpy as np
+
+    from blockloom.llm.pst import different
+
+    rng = np.random.default_rng(1)
+    for x in (rng.integers(0, 1 << 62, 0), rng.integers(0, 3, 50), rng.integers(0, 1 << 62, 5000), rng.integers(0, 900, 20_000) << 50):
+        each, place = different(x)
+        assert (each == np.unique(x)).all() and (each[place] == x).all()
