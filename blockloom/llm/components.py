@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 
 #: A node with more than this share of all link ends is handled by broadcast; so there are at most 1 / share of them.
 HOT_SHARE, HOT_LEAST = 1e-4, 500
@@ -24,6 +24,7 @@ def with_least(pairs: DataFrame, ends: int) -> DataFrame:
     return pairs.join(hot, on).select("u", "v", "m").unionByName(pairs.join(hot, on, "left_anti").join(rest, on).select("u", "v", "m"))
 
 
+@tidy
 def components(links: DataFrame) -> DataFrame:
     """Links (a, b) of long ids -> (node, root): for every node that has a link, the least node it can reach.
 
