@@ -3,8 +3,8 @@
 A text is the sequence of its words, each ended by a space, and one end symbol. The tree holds contexts
 of up to DEPTH bytes that occur LEAST times or more (on small corpora, in a share LEAST_SHARE of all positions) and whose next-symbol distribution diverges from that of
 their longest suffix; their suffixes are kept, too. Distributions are smoothed towards those of the
-suffix. The tree grows with the corpus, so Spark makes it, a level after the other. Its most frequent contexts, a bounded
-number of rows, go to every task, which looks each different run of symbols up once a slice. Longer contexts than
+suffix. The tree grows with the corpus, so Spark makes it, a level after the other. Contexts in a share HEAD_SHARE of all positions,
+TREE_HEAD rows at most, go to every task, which looks each different run of symbols up once a slice. Longer contexts than
 those are told by a bitmap of fixed size and joined: what each adds to the logarithm is a sum over contexts.
 
 Word counts for the base score come from all training texts: frequent words, a bounded number, go to
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cached_property
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ SPACE, END = 0x20, 0x0A
 HEAD = 1_000_000
 #: The most (context, symbol) rows of the tree that go to every task (50 MB), and the bits that tell of other contexts (16 MB).
 TREE_HEAD, BITS = 3_000_000, 27
+#: Contexts in a smaller share of all positions are joined even where there is room for them, so that every size of corpus is split at the same place.
+HEAD_SHARE = 4e-7
 #: Positions or words that a task holds before it sums them up.
 HELD = 1_500_000
 
@@ -270,14 +273,15 @@ def grown(d: DataFrame, depth: int, least: int, share: float, divergence: float)
     return root, written(levels.join(kept, F.col("context") == F.col("context2")).select("context", "x", "n", "p", "shorter"))
 
 
-def frequent_part(tree: DataFrame, root: np.ndarray, depth: int, head: int) -> tuple[SuffixAutomaton, int]:
-    """(the tree's contexts that occur often enough for `head` rows at most, the least count of theirs). Suffixes are as frequent."""
+def frequent_part(tree: DataFrame, root: np.ndarray, depth: int, head: int, share: float = 0.0) -> tuple[SuffixAutomaton, int]:
+    """(the tree's contexts in a `share` of all positions and often enough for `head` rows at most, the least count of theirs). Suffixes are as frequent."""
     least, many = 1 << 62, 0
     for r in tree.groupBy(F.floor(F.log2("n") * 16).alias("b")).agg(F.count("*").alias("rows"), F.min("n").alias("least")).orderBy(F.desc("b")).collect():
         many += r["rows"]
         if many > head:
             break
         least = r["least"]
+    least = max(least, ceil(share * root.sum()))
     got = tree.where(F.col("n") >= least).select(F.shiftleft("context", 8).bitwiseOR(F.col("x")).alias("k"), "n", F.log10("p").cast("float").alias("log")).toArrow()
     k, n, log = (got[c].to_numpy() for c in ("k", "n", "log"))
     return SuffixAutomaton(root, k >> 8, k & 255, n, log, depth), least
@@ -309,7 +313,7 @@ def bitmap(contexts: DataFrame) -> np.ndarray:
 
 
 @tidy
-def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, fold: int = 0, head: int = HEAD, tree_head: int = TREE_HEAD) -> DataFrame:
+def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, fold: int = 0, head: int = HEAD, tree_head: int = TREE_HEAD, head_share: float = HEAD_SHARE) -> DataFrame:
     """Score every whole text, learning from those outside the held-out fold.
 
     Returns id, held_out, n_tokens, n_known, train_tokens, base_score, score. Null texts are empty: one
@@ -321,7 +325,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     d = docs.select(F.col(id_col).cast("long").alias("i"), as_bytes(text_col).alias("t"), held_out(id_col, folds, fold).alias("held_out"))
     train = d.where(~F.col("held_out")).select("t")
     root, grown_tree = grown(train, DEPTH, LEAST, LEAST_SHARE, DIVERGENCE)
-    automaton, least_n = frequent_part(grown_tree, root, DEPTH, tree_head)
+    automaton, least_n = frequent_part(grown_tree, root, DEPTH, tree_head, head_share)
     tail = grown_tree.where(F.col("n") < least_n)
     beyond = bitmap(tail.select("context").distinct()) if tail.limit(1).count() else None
     joined = beyond is not None

@@ -92,6 +92,7 @@ def test_contexts_that_are_joined_score_as_those_in_every_task(spark):
     want, some, none = ({r.doc_id: r.score for r in score_texts(d, tree_head=n).collect()} for n in (10**7, 3000, 0))
     assert some == pytest.approx(want, rel=1e-5)
     assert none == pytest.approx(want, rel=1e-5)
+    assert {r.doc_id: r.score for r in score_texts(d, head_share=1e-4).collect()} == pytest.approx(want, rel=1e-5)
 
 
 def plain_tree(texts, depth=DEPTH, least=3, divergence=0.002, smooth=30.0):
