@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Callable, Iterator
 from typing import TypeVar
@@ -33,18 +34,25 @@ def split_words(text: bytes | None, lower: bool = False) -> list[bytes]:
     return (text.lower() if lower else text).split()
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int]]:
-    """Row ranges of a batch, of at most SLICE_ROWS rows and, beyond one row, SLICE_BYTES bytes."""
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of a batch, of at most SLICE_ROWS rows and, beyond one row, `most` bytes."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(sizes):
-        if i > start and (i - start >= SLICE_ROWS or held + n > SLICE_BYTES):
+        if i > start and (i - start >= SLICE_ROWS or held + n > most):
             yield start, i
             start, held = i, 0
         held += int(n)
     if start < batch.num_rows:
         yield start, batch.num_rows
-    pa.default_memory_pool().release_unused()  # what the batch took, before the next one comes
+    hand_back()  # what the batch took, before the next one comes
+
+
+def hand_back() -> None:
+    """Free memory goes back to the system: Arrow's and, where the C library can, malloc's. A worker that waits for its next task holds none."""
+    pa.default_memory_pool().release_unused()
+    if trim := remembered(("trim",), lambda: getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
 
 
 def remembered(key: tuple, make: Callable[[], T]) -> T:

@@ -36,6 +36,8 @@ TREE_HEAD, BITS = 3_000_000, 27
 HEAD_SHARE = 4e-7
 #: Positions or words that a task holds before it sums them up.
 HELD = 1_500_000
+#: Bytes of text whose positions are looked up together, beyond one text.
+TOGETHER = 1_000_000
 
 
 class Sums:
@@ -123,7 +125,7 @@ def counted(d: DataFrame, what: str, depth: int = DEPTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Sums()
         for batch in batches:
-            for start, end in slices(batch, 0):
+            for start, end in slices(batch, 0, TOGETHER):
                 texts = batch.column(0).slice(start, end - start).to_pylist()
                 if what == "words":
                     sums.add(hashed(texts, lower=True)[0])
@@ -352,7 +354,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (automaton, beyond), (keys, logs) = tree.value, frequent.value
         for batch in batches:
-            for start, end in slices(batch, 1):
+            for start, end in slices(batch, 1, TOGETHER):
                 part = batch.slice(start, end - start)
                 raw = part.column(1).to_pylist()
                 flat, n = hashed(raw, lower=True)
