@@ -9,8 +9,9 @@ c * size / (1 + c * size), with the one c of its source at which the sample has
 
 No task sees a source as a whole. Orders are cut into bands of equal ratio of the rank value; whatever the sizes, a band
 holds less than ln(2) / (4 * BANDS) of a source's documents, expected. The words of each source
-and band are summed with map-side combining, which shows the one band in which a source's
-sample ends. Only documents of those bands are sorted.
+and band are summed with map-side combining; sums of blocks of BANDS bands show the block in which a
+source's sample ends, and the bands of that block the band. So a task puts at most BANDS rows of a source
+in order, or its blocks: a doubling of the rank value each, some 130 at most. Only documents of the last bands are sorted.
 """
 
 from __future__ import annotations
@@ -78,6 +79,13 @@ def targets_of_many(sizes: DataFrame, most: float, weights: tuple[float, ...]) -
     return s.select("source", "source_size", "weight", F.least(F.col("most"), F.lit(t) * F.col("weight")).alias("target"))
 
 
+def ending(parts: DataFrame, part: str) -> DataFrame:
+    """(s, part, words, rest, start) -> the part of each s, in their order, in which its rest ends; `before` has the words before that, from `start` on."""
+    run = Window.partitionBy("s").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("before", F.col("start") + F.coalesce(F.sum("words").over(run), F.lit(0)))
+    return parts.where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words")))
+
+
 @tidy
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: float = 3.0, weights: tuple[float, ...] = (1.0, 2.0, 3.0), seed: int = 9, keep_text: bool = False) -> DataFrame:
     """Choose how often each document goes into a mix in which sources have the targets of `targets`.
@@ -98,14 +106,15 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     d = d.withColumn("band", F.floor(F.lit(float(BANDS)) * F.log2("q")).cast("int"))
     slim = written(d.select("id", "source", "size", "q", "band"))
     d = d if keep_text else slim
-    bands = slim.groupBy("source", "band").agg(F.sum("size").alias("words"))
+    bands = written(slim.groupBy("source", "band").agg(F.sum("size").alias("words")).withColumn("block", F.floor(F.col("band") / BANDS)))
     plan = targets(bands.groupBy("source").agg(F.sum("words").alias("source_size")), most, weights)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = plan.withColumn("whole", F.floor(ratio)).withColumn("rest", F.col("target") - F.floor(ratio) * F.col("source_size"))
-    run = Window.partitionBy("source").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
-    upto = bands.where("band is not null").withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)))
-    ends = upto.join(plan.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s")))
-    ends = ends.where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words"))).select("s", F.col("band").alias("end_band"), "before")
+    blocks = bands.where("band is not null").groupBy("source", "block").agg(F.sum("words").alias("words"))
+    blocks = blocks.join(plan.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s"))).withColumn("start", F.lit(0).cast("long"))
+    last = ending(blocks, "block").select("s", "rest", F.col("block").alias("end_block"), F.col("before").alias("start"))
+    ends = ending(bands.join(last, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("end_block"))), "band")
+    ends = ends.select("s", F.col("band").alias("end_band"), "before")
     plan = plan.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     plan = written(plan.select(F.col("source").alias("s"), "source_size", "target", "whole", "rest", "end_band", "before"))
     plan = F.broadcast(plan) if fits(plan, BROADCAST_SOURCES) else plan
