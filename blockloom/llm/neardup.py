@@ -1,11 +1,9 @@
 """Embedding near-dedup by sorted projection passes.
 
-Vectors of one label and length that are few enough are compared pair by pair, in blocks. In larger groups sorted
-passes come cheaper: in each, random hyperplanes through the group's centre turn a vector into a string of bits; vectors stand in the order of
-these strings, and each is compared with its next NEIGHBOURS in that order. How many passes a group needs is measured: probes, put
-at the threshold from vectors of the group, are sorted among them. Verified pairs of all passes are
-united. Then links are counted exactly inside each component, in blocks, so that what windows missed
-there is linked, too.
+Vectors of one label and length are a group. In each pass, random hyperplanes through a group's centre turn a vector into a
+string of bits; vectors stand in the order of these strings, and each is compared with its next NEIGHBOURS in that order.
+Verified pairs of all passes are united. A window is a cap, so what the passes leave apart is compared then, in blocks: no link is
+missed in a group of any size. At last links are counted exactly inside each component, in blocks, too.
 """
 
 from __future__ import annotations
@@ -22,15 +20,17 @@ from .common import fits, tidy, written
 from .components import components
 
 THRESHOLD, NEIGHBOURS = 0.93, 32
-#: Chance that a pair at the threshold stands within a window in no pass; it sets the number of passes.
+#: Chance that a pair at the threshold stands within a window in no pass, if vectors spread evenly; it sets the number of passes, and so what they leave to the exact comparison.
 MISS = 0.005
 #: Rows of a block of the sorted order, and of a block of a component.
 BLOCK, PART = 2048, 1024
-#: Rows of a block of a group that is compared pair by pair; so many more rows are worth a pass.
-WHOLE, CHUNK = 4096, 512
-#: Vectors of a group that get a probe, about, and passes in which probes are sorted.
-PROBES, TRIALS = 500, 16
+#: Rows of a block of a group in the exact comparison, at least; values of one, at most, where more rows than those spare a large group copies of its rows.
+WHOLE, BLOCK_VALUES = 4096, 1 << 21
+#: Rows of a block that meet the other block at a time, and pairs that are verified at a time.
+CHUNK, VERIFIED = 512, 20_000
 BITS, SEED = 64, 93
+#: The most values of all groups' centres that are broadcast; more are joined.
+CENTRE_VALUES = 1 << 21
 #: The most large components whose sizes are broadcast; those of more are joined.
 BROADCAST_ROOTS = 500_000
 
@@ -87,123 +87,86 @@ def ranked(keys: DataFrame, order: list[str]) -> DataFrame:
     return rows.join(F.broadcast(starts), F.col("part") == F.col("p")).withColumn("rank", F.col("place") + F.col("before")).drop("part", "place", "p", "before")
 
 
-def whole_links(classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): of the pairs of each label and length at the threshold or above, a spanning forest for each two blocks."""
-    sizes = classes.groupBy(F.col("label").alias("l"), F.size("v").alias("s")).agg(F.ceil(F.count("*") / WHOLE).cast("int").alias("parts"))
-    sizes = written(sizes.where("parts > 1"))
+def rest_links(apart: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
+    """(c, root, label, v) -> (a, b): links of all pairs of a label and length whose roots differ, of each two blocks a spanning forest of their roots.
+
+    Every pair is compared: in single precision, with room for its rounding, and in double precision where that comes near.
+    """
+    rows = F.greatest(F.lit(WHOLE), F.least(F.sqrt(F.col("n") * WHOLE), F.lit(BLOCK_VALUES) / F.col("s")))
+    sizes = written(groups.select("l", "s", F.ceil(F.col("n") / rows).cast("int").alias("parts")).where("parts > 1"))
     sizes = F.broadcast(sizes) if fits(sizes, BROADCAST_ROOTS) else sizes
-    m = classes.select("c", "label", F.size("v").alias("size"), "v").join(sizes, (F.col("label") == F.col("l")) & (F.col("size") == F.col("s")), "left")
+    m = apart.select("c", "root", "label", F.size("v").alias("size"), "v").join(sizes, (F.col("label") == F.col("l")) & (F.col("size") == F.col("s")), "left")
     m = m.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
-    m = m.select("c", "label", "size", "v", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    m = m.select("c", "label", "size", "v", "part", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
+    m = m.select("c", "root", "label", "size", "v", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    m = m.select("c", "root", "label", "size", "v", "part", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
 
     def link(table: pa.Table) -> pa.Table:
-        part, c = table["part"].to_numpy(), table["c"].to_numpy()
-        x = units(table["v"].combine_chunks())
+        part, c, root = (table[k].to_numpy() for k in ("part", "c", "root"))
+        root, x = root.copy(), units(table["v"].combine_chunks())
+        short, near = x.astype(np.float32), threshold - 1.2e-7 * (x.shape[1] + 4)
         same = table["x"][0] == table["y"][0]
         left, right = np.flatnonzero(part == table["x"][0].as_py()), np.flatnonzero(part == table["y"][0].as_py())
-        linked = np.zeros(len(c), bool)
+        found = []
         for i in range(0, len(left), CHUNK):
-            rows = left[i : i + CHUNK]
-            close = x[rows] @ x[right].T >= threshold
-            if same:
-                close[np.arange(len(rows)), i + np.arange(len(rows))] = False
-            linked[rows] |= close.any(axis=1)
-            linked[right] |= close.any(axis=0)
-        # From each vector that has links to all that can be reached.
-        rest, edge, found = np.flatnonzero(linked), np.empty(0, np.intp), []
-        while len(rest):
-            if not len(edge):
-                edge, rest = rest[:1], rest[1:]
-            now, edge = edge[:CHUNK], edge[CHUNK:]
-            close = x[now] @ x[rest].T >= threshold
-            new = close.any(axis=0)
-            found.append(np.stack([c[now[close[:, new].argmax(axis=0)]], c[rest[new]]], axis=1))
-            edge, rest = np.concatenate([edge, rest[new]]), rest[~new]
-        pairs = np.concatenate([np.empty((0, 2), np.int64), *found])
+            rows, others = left[i : i + CHUNK], right[i:] if same else right
+            a, b = np.nonzero(short[rows] @ short[others].T >= near)
+            a, b = rows[a], others[b]
+            while len(a):
+                # What is united by now needs no other link.
+                open_ = root[a] != root[b]
+                a, b = a[open_], b[open_]
+                p, q = a[:VERIFIED], b[:VERIFIED]
+                close = (x[p] * x[q]).sum(axis=1) >= threshold
+                for j, k in zip(p[close].tolist(), q[close].tolist(), strict=True):
+                    if root[j] != root[k]:
+                        root[root == root[k]] = root[j]
+                        found.append((c[j], c[k]))
+                a, b = a[VERIFIED:], b[VERIFIED:]
+        pairs = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return m.groupBy("label", "size", "x", "y").applyInArrow(link, "a long, b long")
 
 
-def centres(classes: DataFrame) -> dict[tuple[int, int], np.ndarray]:
-    """The mean unit vector of each label and length."""
+def centres(classes: DataFrame) -> DataFrame:
+    """(l, s, n, mean): rows and mean unit vector of each label and length."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_length(whole, 1):
                 x, label = units(batch.column(1)), batch.column(0).to_numpy()
-                each = np.unique(label)
-                total = np.stack([x[label == k].sum(axis=0) for k in each])
-                at = np.tile(np.arange(x.shape[1], dtype=np.int32), len(each))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(each, x.shape[1])), pa.array(np.full(len(at), x.shape[1], np.int32)), pa.array(at), pa.array(total.ravel()), pa.array(np.repeat([(label == k).sum() for k in each], x.shape[1]))], names=["label", "size", "at", "total", "n"])
-
-    got = classes.select("label", "v").mapInArrow(sums, "label int, size int, at int, total double, n long")
-    out: dict[tuple[int, int], np.ndarray] = {}
-    for r in got.groupBy("label", "size", "at").agg((F.sum("total") / F.sum("n")).alias("mean")).collect():
-        out.setdefault((r["label"], r["size"]), np.zeros(r["size"]))[r["at"]] = r["mean"]
-    return out
-
+                order = np.argsort(label, kind="stable")
+                each, first, n = np.unique(label[order], return_index=True, return_counts=True)
+                total = np.add.reduceat(x[order], first, axis=0)
+                size = x.shape[1]
+                at = np.tile(np.arange(size, dtype=np.int32), len(each))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(each, size)), pa.array(np.full(len(at), size, np.int32)), pa.array(at), pa.array(total.ravel()), pa.array(np.repeat(n, size))], names=["l", "s", "at", "total", "n"])
 
-def centred(x: np.ndarray, label: np.ndarray, centre: dict[tuple[int, int], np.ndarray]) -> np.ndarray:
-    each, at = np.unique(label, return_inverse=True)
-    return x - np.stack([centre[int(k), x.shape[1]] for k in each])[at]
+    got = classes.select("label", "v").mapInArrow(sums, "l int, s int, at int, total double, n long")
+    got = got.groupBy("l", "s", "at").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"))
+    return got.groupBy("l", "s").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("at", "mean"))), lambda x: x["mean"]).alias("mean"))
 
 
-def measured_passes(classes: DataFrame, sizes: dict[tuple[int, int], int], centre: dict[tuple[int, int], np.ndarray], threshold: float, neighbours: int, miss: float) -> dict[tuple[int, int], int]:
-    """Passes that each label and length needs, from how often probes at the threshold stand within a window of their vector.
-
-    The quarter of the probes that do so least often decides, so that crowded vectors are not outvoted.
-    """
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in by_length(whole, 2):
-                x, n = units(batch.column(2)), batch.num_rows
-                label, c = batch.column(1).to_numpy(), batch.column(0).to_numpy()
-                every = np.array([-(-sizes[int(k), x.shape[1]] // PROBES) for k in label])
-                chosen = batch.column(3).to_numpy() % every == 0
-                away = np.random.default_rng([SEED, int(abs(c[0]))]).standard_normal((int(chosen.sum()), x.shape[1]))
-                away -= (away * x[chosen]).sum(axis=1, keepdims=True) * x[chosen]
-                away /= np.sqrt((away * away).sum(axis=1, keepdims=True))
-                both = np.concatenate([x, threshold * x[chosen] + math.sqrt(1 - threshold**2) * away])
-                both = centred(both, np.r_[label, label[chosen]], centre)
-                probe = np.r_[chosen, np.ones(len(away), bool)]
-                for k in range(TRIALS):
-                    key = (sort_keys(both, k) ^ np.uint64(1 << 63)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both), k, np.int32)), pa.array(np.r_[label, label[chosen]]), pa.array(np.full(len(both), x.shape[1], np.int32)), pa.array(key), pa.array(np.r_[c, c[chosen]]), pa.array(probe), pa.array(np.r_[np.zeros(n, np.int32), np.ones(len(away), np.int32)])], names=["pass", "label", "size", "key", "c", "probe", "extra"])
-
-    keys = classes.select("c", "label", "v", F.xxhash64("c").bitwiseAND(F.lit((1 << 62) - 1)).alias("h")).mapInArrow(hashed, "pass int, label int, size int, key long, c long, probe boolean, extra int")
-    at = ranked(keys, ["pass", "label", "size", "key", "c", "extra"]).where("probe")
-    met = at.groupBy("label", "size", "c", "pass").agg(((F.max("rank") - F.min("rank")) <= neighbours).cast("int").alias("met"))
-    out = {}
-    rates: dict[tuple[int, int], list[float]] = {}
-    for r in met.groupBy("label", "size", "c").agg(F.avg("met").alias("rate")).collect():
-        rates.setdefault((r["label"], r["size"]), []).append(r["rate"])
-    for g, n in sizes.items():
-        low = sorted(rates.get(g, [0.0]))
-        low = low[: max(1, len(low) // 4)]
-        meet = min(1 - 1e-9, max(0.5 / (TRIALS * len(low)), sum(low) / len(low)))
-        out[g] = max(passes_for(n, threshold, neighbours, miss), math.ceil(math.log(miss) / math.log(1 - meet)))
-    return out
-
-
-def neighbour_links(classes: DataFrame, passes: dict[tuple[int, int], int], centre: dict[tuple[int, int], np.ndarray], threshold: float, neighbours: int) -> DataFrame:
+def neighbour_links(classes: DataFrame, groups: DataFrame, threshold: float, neighbours: int, miss: float) -> DataFrame:
     """(a, b): pairs within a window of some pass of their label and length and at the threshold or above; of each block a spanning forest of them."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_length(whole, 2):
-                label, c, size = batch.column(1).to_numpy(), batch.column(0).to_numpy(), len(batch.column(2)[0])
-                x = centred(units(batch.column(2)), label, centre)
-                many = np.array([passes[int(k), size] for k in label])
+                c, label, size = batch.column(0).to_numpy(), batch.column(1).to_numpy(), len(batch.column(2)[0])
+                x = units(batch.column(2)) - batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+                each, at = np.unique(batch.column(3).to_numpy(), return_inverse=True)
+                many = np.array([passes_for(int(n), threshold, neighbours, miss) for n in each])[at]
                 for k in range(int(many.max())):
                     of = many > k
                     # Signed order of the flipped integer is unsigned order of the bits.
                     key = (sort_keys(x[of], k) ^ np.uint64(1 << 63)).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), pa.array(label[of]), pa.array(np.full(len(key), size, np.int32)), pa.array(key), pa.array(c[of])], names=["pass", "label", "size", "key", "c"])
 
-    keys = classes.select("c", "label", "v").mapInArrow(hashed, "pass int, label int, size int, key long, c long")
+    values = groups.agg(F.sum("s")).head()[0] or 0
+    of_group = (F.broadcast(groups) if values <= CENTRE_VALUES else groups).select("l", "s", "n", "mean")
+    known = classes.join(of_group, (F.col("label") == F.col("l")) & (F.size("v") == F.col("s"))).select("c", "label", "v", "n", "mean")
+    keys = known.mapInArrow(hashed, "pass int, label int, size int, key long, c long")
     at = ranked(keys, ["pass", "label", "size", "key", "c"])
     block = F.floor(F.col("rank") / BLOCK).cast("long")
     # A block also gets the first rows of the next, to which its last rows are compared.
@@ -240,19 +203,11 @@ def neighbour_links(classes: DataFrame, passes: dict[tuple[int, int], int], cent
 
 
 def all_links(classes: DataFrame, threshold: float, neighbours: int, miss: float) -> DataFrame:
-    """(a, b): links of whole groups where as many rows as their passes cost can be compared pair by pair, else of their passes."""
-    group = lambda keys: F.struct("label", F.size("v")).isin([F.struct(F.lit(a).cast("int"), F.lit(b)) for a, b in keys]) if keys else F.lit(False)
-    # Groups so large are few.
-    sizes = {(r["label"], r["s"]): r["n"] for r in classes.groupBy("label", F.size("v").alias("s")).agg(F.count("*").alias("n")).where(F.col("n") > 4 * WHOLE).collect()}
-    sizes = {g: n for g, n in sizes.items() if n > WHOLE * passes_for(n, threshold, neighbours, miss)}
-    if not sizes:
-        return whole_links(classes, threshold)
-    large = classes.where(group(sizes))
-    centre = centres(large)
-    passes = measured_passes(large, sizes, centre, threshold, neighbours, miss)
-    passes = {g: k for g, k in passes.items() if sizes[g] > WHOLE * k}
-    whole = whole_links(classes.where(~group(passes)), threshold)
-    return whole.unionByName(neighbour_links(classes.where(group(passes)), passes, centre, threshold, neighbours)) if passes else whole
+    """(a, b): links that unite what any link unites: those of the passes and, where these leave two vectors apart, of comparing them. Groups of every size go the same way."""
+    groups = written(centres(classes))
+    passed = written(neighbour_links(classes, groups, threshold, neighbours, miss))
+    apart = classes.join(components(passed), F.col("c") == F.col("node"), "left").select("c", F.coalesce("root", "c").alias("root"), "label", "v")
+    return passed.unionByName(written(rest_links(apart, groups, threshold)))
 
 
 def links_inside(members: DataFrame, threshold: float) -> DataFrame:
@@ -293,9 +248,8 @@ def dedup_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col:
     null label or id, link with nothing: 0 links, a component of their own (null for a null id),
     kept. Vectors of different lengths don't link. A row that repeats another's id and vector is the
     same vector and gets the same values; equal vectors of different ids are handled as one class.
-    In groups of one label and length that are compared whole no pair is missed. In larger ones a pair at the threshold is missed
-    before uniting with a chance of about `miss`, as far as probes tell; pairs above it are likelier to be found, and inside a component none is missed. Other columns are not
-    looked at.
+    No pair is missed, whatever `neighbours` and `miss` are: they set how much the passes find and how much is left to comparing
+    what they leave apart, which is quadratic in the vectors of a label. Other columns are not looked at.
     """
     number = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))

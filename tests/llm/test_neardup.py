@@ -123,3 +123,29 @@ def test_blocks_of_whole_groups(spark, monkeypatch):
     monkeypatch.setattr(neardup, "CHUNK", 7)
     rng = np.random.default_rng(8)
     check(spark, [(i, (np.ones(8) + 0.3 * rng.normal(size=8)).tolist(), i % 2) for i in range(150)])
+
+
+@pytest.mark.parametrize("whole", [4096, 100])
+@pytest.mark.parametrize("common", [0.0, 0.8])
+def test_groups_of_any_size_miss_nothing(spark, monkeypatch, whole, common):
+    """Few passes and narrow windows lose pairs; what is left apart is compared, in small groups and large ones."""
+    monkeypatch.setattr(neardup, "WHOLE", whole)
+    x = cone(np.random.default_rng(9), 1500, 150, common)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    d = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)
+    got = {r.vec_id: tuple(r)[1:] for r in neardup.dedup_embeddings(d, neighbours=2, miss=0.9).collect()}
+    u = np.float32(x).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    close = u @ u.T >= 0.93
+    np.fill_diagonal(close, False)
+    group = np.arange(len(u))
+    for _ in range(20):
+        group = np.minimum(group, np.where(close, group, len(u)).min(axis=1))
+    assert got == {i: (int(n), int(g), i == g) for i, (n, g) in enumerate(zip(close.sum(axis=1), group, strict=True))}
+
+
+def test_small_groups_go_by_passes(spark, monkeypatch):
+    """With all else taken away, the passes alone find the links of a small group."""
+    monkeypatch.setattr(neardup, "rest_links", lambda apart, groups, threshold: apart.select(F.col("c").alias("a"), F.col("c").alias("b")).limit(0))
+    rng = np.random.default_rng(10)
+    check(spark, [(i, (rng.normal(size=6) if i % 3 else np.ones(6) + 0.01 * i * np.eye(6)[0]).tolist(), i % 2) for i in range(30)])
