@@ -5,13 +5,34 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last re
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.llm import bpe, jaccard, mixing, quality, substr
 from blockloom.llm.common import documents, fits, fresh, tidy, written
 
+#: Bytes of a batch of rows on its way to Python. Spark's own bound lets 10,000 rows of text through, buffers of 32 MB that an executor's allocator keeps.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """stage, before which the session's batches are bounded by BATCH_BYTES, unless they are already by less. They stay so: what a stage returns runs later. No result depends on it."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        held = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_SETTING))
+        if not 0 < held <= BATCH_BYTES:
+            spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
+@small_batches
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject, rows as they are.
 
@@ -22,6 +43,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.classify_quality(docs, model, keep_row=True).where("predicted = 1").select("row.*")
 
 
+@small_batches
 @tidy
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies, rows as they are.
@@ -43,6 +65,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return kept.join(twice, on, "left_anti").unionByName(kept.join(twice, on, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
+@small_batches
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the windows that documents with smaller ids have; a text that loses nothing stays as it is.
 
@@ -57,6 +80,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.select(*(f"`{c}`" for c in docs.columns))
 
 
+@small_batches
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, rows as they are.
 
@@ -67,6 +91,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return chosen.select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select("row.*")
 
 
+@small_batches
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document of the mix: doc_id, n_tokens, ids_sha256, decoded_sha256.
 

@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_jaccard import brute as jaccard_brute
@@ -100,3 +101,25 @@ def test_columns_of_any_name_stay(spark):
         for r in got.collect():
             assert all(r[c] == c for c in names)
     assert corpus_pipeline.STAGES[-1][1](spark, d, SF).count() == d.count()
+
+
+def test_batches_of_text_are_bounded(spark):
+    """10,000 rows of 3 kB go to Python in pieces in every stage, so that executors hold no batch of all of them; a smaller bound of the session stays."""
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    docs = spark.range(0, 10_000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 600).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    empty = docs.limit(0)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(setting)
+            stage(spark, empty, SF)
+            assert docs.mapInArrow(sizes, "n long").agg(F.max("n")).head()[0] < 5_000_000
+            spark.conf.set(setting, "1m")
+            stage(spark, empty, SF)
+            assert spark.conf.get(setting) == "1m"
+    finally:
+        spark.conf.set(setting, before)
