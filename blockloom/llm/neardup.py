@@ -26,7 +26,7 @@ MISS = 0.005
 BLOCK, PART = 2048, 1024
 #: Rows of a block of a group in the exact comparison, at least; values of one, at most, where more rows than those spare a large group copies of its rows.
 WHOLE, BLOCK_VALUES = 4096, 1 << 21
-#: Rows of a block that meet the other block at a time, and pairs that are verified at a time.
+#: Rows of a block that meet the other block at a time, at most (BLOCK_VALUES pairs), and pairs that are verified at a time.
 CHUNK, VERIFIED = 512, 20_000
 BITS, SEED = 64, 93
 #: The most values of all groups' centres that are broadcast; more are joined.
@@ -106,10 +106,10 @@ def rest_links(apart: DataFrame, groups: DataFrame, threshold: float) -> DataFra
         short, near = x.astype(np.float32), threshold - 1.2e-7 * (x.shape[1] + 4)
         same = table["x"][0] == table["y"][0]
         left, right = np.flatnonzero(part == table["x"][0].as_py()), np.flatnonzero(part == table["y"][0].as_py())
-        found = []
-        for i in range(0, len(left), CHUNK):
-            rows, others = left[i : i + CHUNK], right[i:] if same else right
-            a, b = np.nonzero(short[rows] @ short[others].T >= near)
+        found, step = [], max(1, min(CHUNK, BLOCK_VALUES // max(1, len(right))))
+        for i in range(0, len(left), step):
+            rows, others = left[i : i + step], right[i:] if same else right
+            a, b = np.nonzero((short[rows] @ short[others].T >= near) & (root[rows][:, None] != root[others]))
             a, b = rows[a], others[b]
             while len(a):
                 # What is united by now needs no other link.
